@@ -258,13 +258,22 @@ MODEL: dict[str, str] = {
                coalesce(d.n_lines, 0) AS vote_count, p_brand AS listing_name
         FROM {part} LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_ship, count(*) AS n_lines
                                FROM {lineitem} GROUP BY l_partkey) d ON d.l_partkey = p_partkey""",
+    # edges as an import might bring them, right and wrong ones
+    "raw_edge": """
+        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS id,
+               CASE WHEN l_linestatus = 'F' THEN 'person' ELSE 'title' END AS subject_type, l_suppkey AS subject_id,
+               CASE l_linenumber WHEN 1 THEN 'directed' WHEN 2 THEN 'sequel' WHEN 3 THEN 'belongs_to_genre'
+                    WHEN 4 THEN 'produced_by' WHEN 5 THEN 'similar_to' WHEN 6 THEN 'explores_theme' ELSE 'acted_in' END AS predicate,
+               CASE l_returnflag WHEN 'A' THEN 'title' WHEN 'N' THEN 'concept' ELSE 'organization' END AS object_type,
+               l_partkey % 200 AS object_id
+        FROM {lineitem}""",
     # resolution: labelled documents are the catalogue, every document arrives again from a feed
     "er_title": """
-        SELECT d.doc_id AS id, d.lang AS kind, regexp_replace(d.text, '[.\\n][\\s\\S]*', '') AS title,
+        SELECT d.doc_id AS id, d.lang AS kind, split_part(replace(d.text, chr(10), '.'), '.', 1) AS title,
                CAST(1990 + floor(d.n_chars / 200) AS INT) AS release_year, d.n_chars AS runtime_minutes
         FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id""",
     "er_incoming": """
-        SELECT doc_id AS incoming_id, lang AS kind, regexp_replace(text, '[.\\n][\\s\\S]*', '') AS title,
+        SELECT doc_id AS incoming_id, lang AS kind, split_part(replace(text, chr(10), '.'), '.', 1) AS title,
                CASE WHEN n_chars > 120 THEN CAST(1990 + floor(n_chars / 200) AS INT) END AS release_year,
                n_chars AS runtime_minutes,
                CAST(doc_id AS STRING) AS source_id, 'ext' || CAST(n_chars AS STRING) AS imdb_id

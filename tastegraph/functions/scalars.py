@@ -67,9 +67,14 @@ def today(as_of: AsOf | date) -> Column:
     return timestamp(as_of).cast("date")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch, of timestamps with and without a time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Elapsed seconds, with fraction."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / 1_000_000
+    return (micros(end) - micros(start)) / 1_000_000
 
 
 def release_year(release: Column) -> Column:

@@ -56,12 +56,14 @@ def strip_diacritics(col: Column) -> Column:
     source, target, expanding = _decompositions()
     letters = F.create_map(*[F.lit(x) for pair in expanding.items() for x in pair])
     folded = F.translate(col, source, target)
-    wide = "[" + "".join(f"\\u{ord(c):04X}" for c in expanding) + "]"
-    expanded = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(letters[c], c)), ""
-    )
-    # few texts hold a character that expands; the rest skip the per-letter lookup
-    return F.when(folded.rlike(r"^\p{ASCII}*$") | ~folded.rlike(wide), folded).otherwise(expanded)
+
+    def expand(c: Column) -> Column:
+        # plain letters, and the ideographs that make up a whole text, have nothing to expand to
+        plain = (c <= "\x7f") | c.between("\u4e00", "\u9fff")
+        return F.when(plain, c).otherwise(F.coalesce(letters[c], c))
+
+    expanded = F.array_join(F.transform(F.split(folded, ""), expand), "")
+    return F.when(folded.rlike(r"^\p{ASCII}*$"), folded).otherwise(expanded)
 
 
 def _folded(col: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.functions.scalars import AsOf, stars_to_value, timestamp, tuple_le
+from tastegraph.functions.scalars import AsOf, micros, stars_to_value, timestamp, tuple_le
 from tastegraph.functions.text import is_bot
 from tastegraph.plans.slices import time_slice, with_last_seen, with_next, with_previous, with_rank
 from tastegraph.tables import Tables
@@ -170,7 +170,7 @@ def sliding_limit(hits: DataFrame, limit: int, window_seconds: int, carried: Dat
     how much of that window is still in view. Denied hits count too. ``carried`` holds counts
     (bucket, window_no, hits) from before these rows.
     """
-    number = F.floor(F.unix_micros("ts") / (window_seconds * 1_000_000))
+    number = F.floor(micros(F.col("ts")) / (window_seconds * 1_000_000))
     h = hits.withColumn("window_no", number)
     piece = max(1, window_seconds // 24)
     placed = with_rank(h, ["bucket", "window_no"], time_slice(F.col("ts"), piece), [F.col("ts"), F.col("hit_id")], "place")
@@ -181,8 +181,8 @@ def sliding_limit(hits: DataFrame, limit: int, window_seconds: int, carried: Dat
         placed = placed.join(earlier, ["bucket", "window_no"], "left").withColumn(
             "place", F.col("place") + F.coalesce("already", F.lit(0))).drop("already")
     before = counts.select("bucket", (F.col("window_no") + 1).alias("window_no"), F.col("hits").alias("prev"))
-    elapsed = F.unix_micros("ts") / (window_seconds * 1_000_000) - F.col("window_no")
-    left = (F.col("window_no") + 1) * window_seconds - F.unix_micros("ts") / 1_000_000
+    elapsed = micros(F.col("ts")) / (window_seconds * 1_000_000) - F.col("window_no")
+    left = (F.col("window_no") + 1) * window_seconds - micros(F.col("ts")) / 1_000_000
     rows = placed.join(before, ["bucket", "window_no"], "left").withColumn(
         "estimate", F.coalesce("prev", F.lit(0)) * (1 - elapsed) + F.col("place"))
     return rows.select(
@@ -193,7 +193,7 @@ def sliding_limit(hits: DataFrame, limit: int, window_seconds: int, carried: Dat
 
 def window_counts(hits: DataFrame, window_seconds: int) -> DataFrame:
     """Hits per bucket and window, as the limiter stores them."""
-    number = F.floor(F.unix_micros("ts") / (window_seconds * 1_000_000))
+    number = F.floor(micros(F.col("ts")) / (window_seconds * 1_000_000))
     return hits.groupBy("bucket", number.alias("window_no")).agg(F.count("*").alias("hits"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def time_slice(ts: Column, seconds: int) -> Column:
     """Order-preserving slice number of a timestamp."""
-    return F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000))
 
 
 def _packed(order: list[Column]) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tastegraph.functions.scalars import AsOf, timestamp
 
@@ -19,7 +18,7 @@ _KEYWORDS = f"struct<keywords:{_NAMED},results:{_NAMED}>"
 _PERSON = "id:bigint,name:string,profile_path:string,known_for_department:string,gender:int,popularity:double"
 _IDS = "struct<imdb_id:string,wikidata_id:string>"
 
-MOVIE = T.StructType.fromDDL(
+MOVIE = (
     "id bigint, title string, original_title string, release_date string, runtime int, status string, overview string, "
     "original_language string, poster_path string, backdrop_path string, popularity double, vote_average double, "
     "vote_count bigint, budget bigint, revenue bigint, homepage string, adult boolean, imdb_id string, "
@@ -29,7 +28,7 @@ MOVIE = T.StructType.fromDDL(
     f"crew:array<struct<{_PERSON},job:string,department:string,credit_id:string>>>, "
     f"keywords {_KEYWORDS}, external_ids {_IDS}")
 
-SHOW = T.StructType.fromDDL(
+SHOW = (
     "id bigint, name string, original_name string, first_air_date string, last_air_date string, episode_run_time array<int>, "
     "status string, overview string, original_language string, poster_path string, backdrop_path string, popularity double, "
     "vote_average double, vote_count bigint, homepage string, adult boolean, "
@@ -40,16 +39,16 @@ SHOW = T.StructType.fromDDL(
     f"crew:array<struct<{_PERSON},department:string,jobs:array<struct<job:string,credit_id:string,episode_count:int>>>>>, "
     f"keywords {_KEYWORDS}, external_ids {_IDS}")
 
-PERSON = T.StructType.fromDDL(
+PERSON = (
     "id bigint, name string, also_known_as array<string>, birthday string, deathday string, place_of_birth string, "
     "biography string, known_for_department string, gender int, profile_path string, popularity double, imdb_id string")
 
-SEASON = T.StructType.fromDDL(
+SEASON = (
     "id bigint, season_number int, name string, overview string, air_date string, poster_path string, "
     "episodes array<struct<id:bigint,episode_number:int,season_number:int,name:string,overview:string,air_date:string,runtime:int,still_path:string>>")
 
 _OFFERS = "array<struct<provider_id:bigint,provider_name:string,logo_path:string,display_priority:int>>"
-WATCH_PROVIDERS = T.StructType.fromDDL(
+WATCH_PROVIDERS = (
     "id bigint, results map<string, struct<link:string," + ",".join(f"{o}:{_OFFERS}" for o in OFFER_TYPES) + ">>")
 
 _CELL = "struct<value:string>"
@@ -57,7 +56,7 @@ BINDING_FIELDS = (
     "imdb", "basedOn", "basedOnLabel", "basedOnType", "author", "authorLabel", "series", "seriesLabel", "seriesType",
     "influencedBy",
 )
-BINDINGS = T.StructType.fromDDL(
+BINDINGS = (
     "results struct<bindings:array<struct<" + ",".join(f"{f}:{_CELL}" for f in BINDING_FIELDS) + ">>>")
 
 MOVIE_REQUIRED = ("id", "title")
@@ -78,7 +77,7 @@ def raw_capture(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return latest.select(*key, "p.*").select(*both.columns)
 
 
-def _parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.select(*[c for c in raw.columns if c != "payload"], F.from_json("payload", schema).alias("p"))
 
 
@@ -143,10 +142,9 @@ def parse_bindings(raw: DataFrame) -> DataFrame:
         entity_key(v("seriesType")).alias("series_type"), entity_key(v("influencedBy")).alias("influenced_by"))
 
 
-def split_rejects(raw: DataFrame, schema: T.StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
+def split_rejects(raw: DataFrame, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Payloads that parse with their required fields, and the others with where they fail."""
-    corrupt = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    p = raw.withColumn("p", F.from_json("payload", corrupt, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    p = raw.withColumn("p", F.from_json("payload", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     missing = F.filter(F.array(*[F.when(F.col(f"p.{f}").isNull(), F.lit(f)) for f in required]), lambda f: f.isNotNull())
     path = F.when(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull(), "$").otherwise(F.array_join(missing, ","))
     judged = p.withColumn("failed_at", F.nullif(path, F.lit(""))).drop("p")
