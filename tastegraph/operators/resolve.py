@@ -75,16 +75,16 @@ def block_candidates(incoming: DataFrame, title: DataFrame, min_sim: float = REV
     year_ok = F.coalesce(F.abs(F.col("l_year") - F.col("r_year")) <= 1, F.lit(True))
     pairs = similar_texts(inc.select("kind", "l_text", "l_year").distinct(),
                           held.select("kind", "r_text", "r_year").distinct(), min_sim, ["kind"], year_ok)
-    texts = top_rows(
-        pairs.join(copies, (pairs.kind == copies.kind) & (pairs.r_text == copies.r_text)
-                   & pairs.r_year.eqNullSafe(copies.r_year)).select(
-            pairs.kind, "l_text", "l_year", pairs.r_text, pairs.r_year, "sim", copies.id, copies.runtime_minutes),
-        ["kind", "l_text", "l_year"], [F.col("sim").desc(), F.col("id")], k, "rank")
-    i = inc.select("incoming_id", "kind", "l_text", "l_year", F.col("runtime_minutes").alias("l_runtime"))
-    return i.join(texts, (i.kind == texts.kind) & (i.l_text == texts.l_text) & i.l_year.eqNullSafe(texts.l_year)).select(
-        "incoming_id", F.col("id").alias("candidate_id"), "rank", "sim", (texts.r_text == i.l_text).alias("exact"),
-        texts.r_text.alias("candidate_title"), texts.r_year.alias("candidate_year"),
-        "l_runtime", F.col("runtime_minutes").alias("candidate_runtime"))
+    p, h = pairs.alias("p"), copies.alias("h")
+    same = (F.col("p.kind") == F.col("h.kind")) & (F.col("p.r_text") == F.col("h.r_text")) & F.col("p.r_year").eqNullSafe(F.col("h.r_year"))
+    met = p.join(h, same).select("p.kind", "p.l_text", "p.l_year", "p.r_text", "p.r_year", "p.sim", "h.id", "h.runtime_minutes")
+    best = top_rows(met, ["kind", "l_text", "l_year"], [F.col("sim").desc(), F.col("id")], k, "rank").alias("b")
+    i = inc.alias("i")
+    asked = (F.col("i.kind") == F.col("b.kind")) & (F.col("i.l_text") == F.col("b.l_text")) & F.col("i.l_year").eqNullSafe(F.col("b.l_year"))
+    return i.join(best, asked).select(
+        "i.incoming_id", F.col("b.id").alias("candidate_id"), "b.rank", "b.sim", (F.col("b.r_text") == F.col("i.l_text")).alias("exact"),
+        F.col("b.r_text").alias("candidate_title"), F.col("b.r_year").alias("candidate_year"),
+        F.col("i.runtime_minutes").alias("l_runtime"), F.col("b.runtime_minutes").alias("candidate_runtime"))
 
 
 def runtime_ok(incoming: Column, held: Column, tol: float = RUNTIME_TOLERANCE) -> Column:
