@@ -269,11 +269,12 @@ MODEL: dict[str, str] = {
         FROM {lineitem}""",
     # resolution: labelled documents are the catalogue, every document arrives again from a feed
     "er_title": """
-        SELECT d.doc_id AS id, d.lang AS kind, split_part(replace(d.text, chr(10), '.'), '.', 1) AS title,
+        SELECT d.doc_id AS id, d.lang AS kind, d.source || ' ' || CAST(d.n_chars AS STRING) AS title,
                CAST(1990 + floor(d.n_chars / 200) AS INT) AS release_year, d.n_chars AS runtime_minutes
         FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id""",
     "er_incoming": """
-        SELECT doc_id AS incoming_id, lang AS kind, split_part(replace(text, chr(10), '.'), '.', 1) AS title,
+        SELECT doc_id AS incoming_id, lang AS kind, source || ' ' || CAST(n_chars AS STRING) AS title,
+               split_part(replace(text, chr(10), '.'), '.', 1) AS headline,
                CASE WHEN n_chars > 120 THEN CAST(1990 + floor(n_chars / 200) AS INT) END AS release_year,
                n_chars AS runtime_minutes,
                CAST(doc_id AS STRING) AS source_id, 'ext' || CAST(n_chars AS STRING) AS imdb_id
