@@ -238,6 +238,6 @@ def accent_color(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     hue = F.degrees(F.atan2(F.col("c.y"), F.col("c.x")))
     sat = F.lit(min(max(ACCENT_SATURATION, CLAMP_SATURATION[0]), CLAMP_SATURATION[1]))
     light = F.greatest(F.lit(CLAMP_LIGHTNESS[0]), F.least(F.lit(CLAMP_LIGHTNESS[1]), F.col("c.l")))
-    return best.select(key, rgb_hex(hue, sat, light).alias("accent_color"))
+    return best.select(key, F.when(F.col("c").isNotNull(), rgb_hex(hue, sat, light)).alias("accent_color"))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tastegraph.functions.scalars import squash
 from tastegraph.operators.views import top_rows
+from tastegraph.plans.lineage import checkpoint
 from tastegraph.plans.slices import with_running_count
 from tastegraph.tables import Tables
 
@@ -139,8 +140,8 @@ def _common_sets(common: DataFrame) -> DataFrame:
 
 def _subsets(sets: DataFrame) -> DataFrame:
     """Every subset of a title's common keys that makes a signal, as (title_id, keys, values)."""
-    numbers = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("held")) - 1)
-    picked = F.filter("held", lambda h, i: F.get_bit(F.col("pick"), i) == 1)
+    numbers = F.expr("sequence(1, shiftleft(1, size(held)) - 1)")
+    picked = F.filter("held", lambda h, i: F.getbit(F.col("pick"), i) == 1)
     subset = sets.select("title_id", "held", F.explode(numbers).alias("pick")).select("title_id", picked.alias("s"))
     themes = F.size(F.filter("s", lambda h: h["signal"] == "theme"))
     counts = (themes >= THEMES_SHARED) | (themes < F.size("s"))
@@ -220,10 +221,12 @@ def scored_pairs(t: Tables, signals: tuple[str, ...] = SIGNALS, k: int = PER_TIT
     features = signal_features(t, signals)
     point, any_common = split_point(features, rare, common_per_title)
     if any_common:
+        # read several times below: written once, so neither a lost executor nor a reader repeats the joins
+        features = checkpoint(features)
         counts = features.groupBy("key").agg(F.count("*").alias("key_n"))
         counted = features.join(counts, "key")
         few, many = counted.filter(F.col("key_n") <= point), counted.filter(F.col("key_n") > point)
-        sets = _common_sets(many)
+        sets = checkpoint(_common_sets(many))
         zero = [F.lit(0.0).alias(n) for n in _PARTS]
         rows = _rare_pairs(few).unionByName(_common_candidates(sets, k).select("x", "y", *zero))
     else:
