@@ -12,7 +12,7 @@ from tastegraph.demo.registry import queries
 
 HEADLINE = (
     "edge_bidirectional", "node_degree", "title_view", "user_title", "user_taste_affinity", "metric_share", "rank_both_ends",
-    "find_paths", "search_titles", "resolve_titles", "sliding_limit", "status_transitions", "suggestions",
+    "find_paths", "search_titles", "resolve_titles", "sliding_limit", "status_transitions", "suggestion_seeds",
 )
 
 
