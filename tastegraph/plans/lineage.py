@@ -7,19 +7,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the frame to the session's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which all executors share.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. A folder of our own is used only
-    by a local session that names none; elsewhere its absence is an error.
+    A folder of our own is used only by a session inside one JVM that names none; elsewhere its absence is an error.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
+            if context.master.partition("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(shared)
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write the frame to the session's checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
