@@ -29,6 +29,12 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public word-end BPE vocabulary lies on this machine and on the executors."""
     import public_tokenizers
@@ -37,7 +43,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack_sequences, op8_shard_documents, op9_filter_urls)}
+    return {f.__name__: f for f in (op2_pack_sequences, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
