@@ -17,6 +17,18 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tastegraph.llm.toxicity import score_documents
 
@@ -49,7 +61,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack_sequences, op6_score_toxicity, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
+    return {f.__name__: f for f in (op2_pack_sequences, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
