@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegraph.llm.tokens import WordTokens
+from tastegraph.llm.tokens import of_worker
 from tastegraph.llm.words import pieces
 from tastegraph.plans.lineage import checkpoint
 from tastegraph.plans.slices import with_rank
@@ -25,7 +25,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAP
     """Every document's ids and ``end_id``, cut into full pieces and one rest: (doc_id, start, length, ids_crc32, doc_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last = WordTokens(tokenizer_path), struct.pack("<I", end_id)
+        tokens, last = of_worker(tokenizer_path), struct.pack("<I", end_id)
         for rows in pieces(batches):
             out: list[tuple] = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
