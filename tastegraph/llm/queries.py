@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_drop_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.line_dedup import drop_lines
+
+    return drop_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tastegraph.llm.packing import pack_documents
 
@@ -61,8 +67,10 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack_sequences, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tastegraph.llm import line_dedup
+
+    return {"op1_drop_recurring_lines": line_dedup.SQL}
