@@ -41,6 +41,12 @@ def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tastegraph.llm.sharding import shard_documents
 
@@ -67,7 +73,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
