@@ -18,6 +18,8 @@ from tastegraph.plans.lineage import checkpoint
 #: A pair of likeness 0.75 agrees in 48 of 64 on average; the chance of fewer than 32 is below one in a million.
 WIDTH, COORDINATES, MATCHES, PERCENT = 5, 64, 32, 75
 SEED = 20_240_607
+#: Shingles of a chunk whose sets one task compares with another chunk's, and what each set counts beside its own.
+CHUNK, LEAST_WEIGHT = 250_000, 250
 
 
 def _multipliers(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,38 +76,86 @@ def postings(sets: DataFrame, matches: int) -> DataFrame:
         F.explode(F.expr(f"slice(l, 1, size(l) - {matches - 1})")).alias("p"), "node").select("p.token", "node")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame, matches: int, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that agree in enough coordinates and whose whole shingle sets are alike."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
-    same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> int(x = y)), 0, (n, x) -> n + x)")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(same >= matches).select("a", "b")
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+def linked(sets: list[np.ndarray], percent: int, often: int = 64, columns: int = 1024) -> np.ndarray:
+    """For each set the first of those it reaches over links, where 100 * intersection >= percent * union.
+
+    Intersections of all sets are counted at once: shingles that many sets have as columns of a matrix product,
+    the others by the pairs of sets that share them.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    names, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    both = np.zeros((n, n), np.float32)
+    frequent = np.flatnonzero(many > often)
+    place = np.full(len(names), -1)
+    place[frequent] = np.arange(len(frequent))
+    for c in range(0, len(frequent), columns):
+        here = (place[at] >= c) & (place[at] < c + columns)
+        held = np.zeros((n, min(columns, len(frequent) - c)), np.float32)
+        held[owner[here], place[at[here]] - c] = 1
+        both += held @ held.T
+    order = np.argsort(at, kind="stable")
+    for k in np.unique(many[(many > 1) & (many <= often)]):
+        rows = owner[order[many[at[order]] == k]].reshape(-1, k)
+        for x in range(k - 1):
+            for y in range(x + 1, k):
+                np.add.at(both, (rows[:, x], rows[:, y]), 1)
+    both = np.maximum(both, both.T)
+    near = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    np.fill_diagonal(near, False)
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def confirm(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that span what full shingle sets connect among the members (part, node, weight, text) of each part.
+
+    A part is cut into chunks of bounded weight and every two chunks meet once, so a large part is spread over many
+    tasks and each holds two chunks at most. A task counts all intersections and returns one link a text, not all pairs.
+    """
+    totals = members.groupBy("part").agg(F.ceil(F.sum("weight") / CHUNK).alias("chunks"))
+    cut = members.join(totals, "part").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
+    dealt = cut.withColumn("with", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
+        "part", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "node", "text")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = WordHash(), (None, None)
+        known, key, nodes, sets = WordHash(), None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            return [(nodes[x], node) for x, node in zip(linked(sets, percent).tolist(), nodes, strict=True) if nodes[x] != node] if len(sets) > 1 else []
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for rows in pieces(batches):
             out = []
-            for a, b, ta, tb in zip(rows["a"], rows["b"], rows["ta"], rows["tb"], strict=True):
-                if last[0] != b:
-                    last = (b, shingles(split_words(tb), known, width))
-                x, y = shingles(split_words(ta), known, width), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for part, i, j, node, text in zip(rows["part"], rows["i"], rows["j"], rows["node"], rows["text"], strict=True):
+                if key != (part, i, j):
+                    out += links()
+                    key, nodes, sets = (part, i, j), [], []
+                nodes.append(node)
+                sets.append(shingles(split_words(text), known, width))
+            yield batch(out)
+        yield batch(links())
 
-    return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES, matches: int = MATCHES,
                     percent: int = PERCENT) -> DataFrame:
     """Per document: n_shingles, component_id (smallest doc_id it reaches over links) and kept.
 
-    Documents link where 100 * intersection >= percent * union of their sets of ``width``-word shingles; candidates agree
-    in ``matches`` coordinates, and every link is confirmed on the full sets. Equal sets form one class first, so exact copies are
-    never paired. Under each coordinate-value pair all classes are first compared with one of them; what that connects
-    is one group, and only classes outside the largest group there meet the others, so a large group of
-    copies costs a comparison a member and no link between groups is missed.
+    Documents link where 100 * intersection >= percent * union of their sets of ``width``-word shingles; candidates agree in
+    ``matches`` coordinates of their signatures. Equal sets form one class first, so exact copies are never compared.
+    Classes under one coordinate-value pair are candidates of each other: each is tied to one of them,
+    tied classes form a part, and all full sets of a part are compared in blocks. No pair is ever a row.
 
     Texts without words have no shingles and link with nothing. Rows of one doc_id count as one document. A row
     without doc_id links with nothing: component NULL, kept. Repeated rows each stay.
@@ -114,30 +164,18 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, coordinates: int =
     classes = checkpoint(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    sets = classes.groupBy("node").agg(F.first("signature").alias("signature"))
-    posted = checkpoint(postings(sets, matches))
+    posted = checkpoint(postings(classes.groupBy("node").agg(F.first("signature").alias("signature")), matches))
     crowded = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    listed = posted.join(crowded, "token")
-    ends = listed.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(_texts(documents).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    sets = written(sets.join(ends.withColumnRenamed("doc_id", "node"), "node", "left_semi"))
-    # one star under each coordinate-value pair
-    stars = checkpoint(listed.where("a < node").select("a", F.col("node").alias("b")).distinct())
-    links = checkpoint(confirm(stars, sets, texts, matches, width, percent))
-    group = components(links, "a", "b")
-    # then whatever lies outside the largest group there
-    placed = checkpoint(
-        listed.select("token", "node").join(group, "node", "left").select("token", "node", F.coalesce("component", "node").alias("g")))
-    largest = placed.groupBy("token", "g").agg(F.count("*").alias("n")).groupBy("token").agg(
-        F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-    outside = placed.join(largest, "token").where("g <> main").select("token", F.col("node").alias("x"), F.col("g").alias("gx"))
-    others = outside.join(placed, "token").where("g <> gx").select(
-        F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirm(others, sets, texts, matches, width, percent)
-    groups = components(links.union(more), "a", "b")
-    named = classes.join(groups, classes.node == groups.node, "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", classes.node).alias("found"))
-    # classes of one doc_id share its node
+    tied = posted.join(crowded, "token").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    parts = components(tied, "a", "b")
+    parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())
+    weights = classes.groupBy("node").agg((F.max("n_shingles") + LEAST_WEIGHT).alias("weight"))
+    texts = _texts(documents).withColumnRenamed("doc_id", "node")
+    members = written(
+        parts.join(weights, "node").join(texts, "node").select(F.col("component").alias("part"), "node", "weight", "text").dropDuplicates(["node"]))
+    groups = components(confirm(members, width, percent), "a", "b")
+    named = classes.join(groups, "node", "left").select(
+        "set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("found"))
     return signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("found", "doc_id"), F.lit(True)).alias("kept"))
