@@ -75,12 +75,13 @@ def drop_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUMENTS,
     stays NULL, a text that loses nothing is unchanged, repeated rows are one document and change alike. Columns of the names
     ``n_lines`` and ``n_dropped`` are replaced.
     """
-    dropped = recurring_lines(documents, depth, least, free, literal).groupBy("d", "t").agg(F.collect_set("line_no").alias("__dropped"))
+    dropped = recurring_lines(documents, depth, least, free, literal).groupBy(
+        F.col("d").alias("__line_d"), F.col("t").alias("__line_t")).agg(F.collect_set("line_no").alias("__dropped"))
     keyed = documents.withColumns({
         "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__t": F.xxhash64("doc_id", "text"), "n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")})
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
     return (
-        keyed.join(dropped, (keyed["__d"] == dropped["d"]) & (keyed["__t"] == dropped["t"]), "left")
+        keyed.join(dropped, (F.col("__d") == F.col("__line_d")) & (F.col("__t") == F.col("__line_t")), "left")
         .withColumns({
             "n_lines": F.greatest("n_lines", F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"),
             "text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left)})

@@ -23,6 +23,12 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.html_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tastegraph.llm.secrets import scan_secrets
 
@@ -73,7 +79,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op3_extract_main_text, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -181,20 +181,23 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, c
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """Documents with all their columns and ``toxic_score``, from their whole text; NULL and empty texts get that of no words."""
+def score(documents: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
+    """Documents with all their columns and a score of their whole text under ``name``, in place of a column of that name.
+
+    NULL and empty texts get the score of no words.
+    """
     rows, offset = model.rows(), model.offset()
+    given = documents.drop(name).withColumn("__text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordScores(rows)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            said = [score_texts(part["t"], known, offset) for part in pieces(iter([pa.RecordBatch.from_arrays([batch.column(at)], ["t"])]))]
-            yield batch.drop_columns(["__text"]).append_column("toxic_score", pa.array(np.concatenate(said or [np.empty(0)])))
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], ["t"])
+            said = [score_texts(part["t"], known, offset) for part in pieces(iter([texts]))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(np.concatenate(said or [np.empty(0)]))], [*batch.schema.names[:-1], name])
 
-    given = documents.withColumn("__text", F.col("text").cast("string"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in documents.dtypes] + ["toxic_score double"])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, documents.drop(name).schema.add(name, "double"))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -211,4 +214,4 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, with all columns, that score below the threshold."""
-    return score(documents, fit(documents, labels)).where(F.col("toxic_score") < threshold).drop("toxic_score")
+    return score(documents, fit(documents, labels), "__toxic").where(F.col("__toxic") < threshold).drop("__toxic")
