@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.words import CACHE, pieces, split_words
+from tastegraph.llm.words import mix, pieces, split_words
 
 #: Bounds of the training sample: labelled documents of each class, taken in the order of a digest of their id.
 TOXIC_ROWS, CLEAN_ROWS = 700, 2_100
@@ -19,15 +19,32 @@ TOXIC_ROWS, CLEAN_ROWS = 700, 2_100
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 16
 #: Training documents a hash row must be seen in to get a weight, and standard errors its share of toxic ones must be off.
 LEAST_DOCUMENTS, LEAST_Z = 3, 4.0
+#: Words a worker remembers before it starts afresh.
+REMEMBERED = 500_000
 #: Steps of training, their size, how strongly embeddings are drawn to 0.
 STEPS, RATE, DECAY = 80, 0.1, 1e-5
 
 
-def grams(word: bytes) -> list[int]:
-    """Hash rows of a word and its character n-grams, ends marked."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    found = {text} | {text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)}
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in sorted(found)]
+def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash rows of words and of their character n-grams, ends marked, in one array by word; how many each word has."""
+    marked = ["<" + w.decode("utf-8", "replace") + ">" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    if not len(sizes):
+        return np.zeros(0, np.int32), sizes
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(letters)) - starts[word]
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    hashes, owners = [np.add.reduceat(letters * powers[place], starts)], [np.arange(len(sizes))]
+    for n in GRAMS:
+        at = np.flatnonzero(sizes[word] - place >= n)
+        hashes.append(sum((letters[at + j] * powers[j] for j in range(n)), np.uint64(n)))
+        owners.append(word[at])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    rows = (mix(np.concatenate(hashes)) % np.uint64(BUCKETS)).astype(np.int32)
+    return rows[order], np.bincount(owner, minlength=len(sizes))
 
 
 @dataclass
@@ -114,11 +131,8 @@ def _bags(names: list[bytes], words: list[np.ndarray], y: np.ndarray) -> tuple[n
     A row gets a weight if at least ``LEAST_DOCUMENTS`` training documents have it and their share of toxic ones is
     ``LEAST_Z`` standard errors off the share of all; other rows keep their share of a word's mean, but no weight.
     """
-    sizes, parts = np.zeros(max(len(names), 1), np.int32), []
-    for i, x in enumerate(names):
-        parts.append(np.array(grams(x), np.int32))
-        sizes[i] = len(parts[-1])
-    flat = np.concatenate(parts or [np.zeros(0, np.int32)])
+    parts = [bags(names[i : i + 20_000]) for i in range(0, len(names), 20_000)] or [bags([])]
+    flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     seen = np.zeros((2, BUCKETS))
@@ -134,24 +148,42 @@ def _bags(names: list[bytes], words: list[np.ndarray], y: np.ndarray) -> tuple[n
 
 
 class WordScores(dict):
-    """What a word adds to a window's logit, computed once per distinct word."""
+    """What words add to a window's logit, computed once per distinct word."""
 
     def __init__(self, rows: np.ndarray) -> None:
         super().__init__()
         self.rows = rows
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE:
+    def learn(self, words: list[list[bytes]]) -> None:
+        """Know all words of these texts; what was known before may be forgotten."""
+        if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = float(self.rows[grams(word)].mean())
-        return value
+        new = list(set().union(*words).difference(self))
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            flat, sizes = bags(part)
+            sums = np.bincount(np.repeat(np.arange(len(part)), sizes), self.rows[flat], len(part))
+            self.update(zip(part, (sums / sizes).tolist(), strict=True))
+
+
+_worker: dict[bytes, WordScores] = {}
+
+
+def of_worker(rows: np.ndarray) -> WordScores:
+    """The word scores this worker remembers of a model, kept from task to task; those of one model at a time."""
+    name = hashlib.md5(rows.tobytes()).digest()
+    if name not in _worker:
+        _worker.clear()
+        _worker[name] = WordScores(rows)
+    return _worker[name]
 
 
 def score_texts(texts: list[str | None], known: WordScores, offset: float) -> np.ndarray:
     """Toxicity of each whole text, from 0 to 1: that of its most toxic window."""
     words = [split_words(t) for t in texts]
-    values = np.fromiter((v for x in words for v in map(known.__getitem__, x)), np.float64)
+    known.learn(words)
     counts = [len(x) for x in words]
+    values = np.fromiter((v for x in words for v in map(known.__getitem__, x)), np.float64, sum(counts))
     starts, owner = _windows(counts)
     summed = np.concatenate([[0.0], np.cumsum(values)])
     ends = np.minimum(starts + WINDOW, np.cumsum(counts)[owner]) if len(starts) else starts
@@ -190,7 +222,7 @@ def score(documents: DataFrame, model: Model, name: str = "toxic_score") -> Data
     given = documents.drop(name).withColumn("__text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(rows)
+        known = of_worker(rows)
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], ["t"])
             said = [score_texts(part["t"], known, offset) for part in pieces(iter([texts]))]
