@@ -35,7 +35,7 @@ def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     word = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(letters)) - starts[word]
-    powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    powers = np.cumprod(np.full(max(int(sizes.max()), *GRAMS), 0x9E3779B97F4A7C15, np.uint64))
     hashes, owners = [np.add.reduceat(letters * powers[place], starts)], [np.arange(len(sizes))]
     for n in GRAMS:
         at = np.flatnonzero(sizes[word] - place >= n)
