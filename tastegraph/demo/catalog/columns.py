@@ -173,17 +173,17 @@ def tuple_le(t):
 
 
 _PIXELS = """
-    SELECT vec_id AS image_id, CAST(floor(greatest(0, least(1, (embedding[3 * i - 2] + 0.25) * 2)) * 255) AS INTEGER) AS r,
-           CAST(floor(greatest(0, least(1, (embedding[3 * i - 1] + 0.25) * 2)) * 255) AS INTEGER) AS g,
-           CAST(floor(greatest(0, least(1, (embedding[3 * i] + 0.25) * 2)) * 255) AS INTEGER) AS b
-    FROM embeddings, (SELECT unnest(generate_series(1, 21)) AS i) k"""
+    SELECT vec_id AS image_id, CAST(floor(greatest(0, least(1, (embedding[(3 * i - 3) % 64 + 1] + 0.25) * 2)) * 255) AS INTEGER) AS r,
+           CAST(floor(greatest(0, least(1, (embedding[(3 * i - 2) % 64 + 1] + 0.25) * 2)) * 255) AS INTEGER) AS g,
+           CAST(floor(greatest(0, least(1, (embedding[(3 * i - 1) % 64 + 1] + 0.25) * 2)) * 255) AS INTEGER) AS b
+    FROM embeddings, (SELECT unnest(generate_series(1, 22)) AS i) k"""
 
 
 def pixels(t):
-    """Twenty-one pixels per vector from its dimensions, three at a time."""
+    """Twenty-two pixels per vector from its 64 dimensions, three at a time; the last one goes round to the first two."""
     level = lambda e: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (e.cast("double") + 0.25) * 2)) * 255).cast("int")
-    rows = t.embeddings.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(21))).alias("i"))
-    at = lambda shift: level(F.get("embedding", c("i") * 3 - shift))
+    rows = t.embeddings.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(22))).alias("i"))
+    at = lambda shift: level(F.get("embedding", (c("i") * 3 - shift) % 64))
     return rows.select(c("vec_id").alias("image_id"), at(3).alias("r"), at(2).alias("g"), at(1).alias("b"))
 
 

@@ -8,14 +8,18 @@ from tastegraph.demo.model import DEPENDS, MODEL, SOURCES
 from tastegraph.sources.ontology import load_ontology
 from tastegraph.tables import Tables
 
-_LOADED: dict[tuple[int, str], Tables] = {}
+# tables of the session at hand; another session starts afresh
+_LOADED: dict[str, Tables] = {}
+_SESSION: list[SparkSession] = []
 
 
 def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All given tables, the projected model and the ontology, planned on first use."""
-    key = (id(spark), sf_dir)
-    if key in _LOADED:
-        return _LOADED[key]
+    if not _SESSION or _SESSION[0] is not spark:
+        _LOADED.clear()
+        _SESSION[:] = [spark]
+    if sf_dir in _LOADED:
+        return _LOADED[sf_dir]
 
     def load(name: str) -> DataFrame:
         if name in SOURCES:
@@ -27,5 +31,5 @@ def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return spark.sql(MODEL[name], **{d: getattr(tables, d) for d in DEPENDS[name]})
 
     tables = Tables(loader=load)
-    _LOADED[key] = tables
+    _LOADED[sf_dir] = tables
     return tables

@@ -61,7 +61,7 @@ MODEL: dict[str, str] = {
                      ('large', 107, 0.5), ('large', 103, 0.5), ('plate', 106, 0.25), ('small', 104, 0.25),
                      ('ring', NULL, 0.0), ('widget', NULL, 0.0)) AS c(keyword_label, concept_id, salience)""",
     "concept": """
-        SELECT CAST(substring(p_brand, 7, 3) AS BIGINT) AS id, 'genre' AS scheme,
+        SELECT CAST(substring(p_brand, 7) AS BIGINT) AS id, 'genre' AS scheme,
                lower(replace(p_brand, '#', '-')) AS slug, p_brand AS label, false AS is_curated
         FROM (SELECT DISTINCT p_brand FROM {part}) b
         UNION ALL
@@ -107,7 +107,7 @@ MODEL: dict[str, str] = {
     "title_keyword": """
         SELECT p_partkey AS title_id, substring(p_name, 1, instr(p_name, ' ') - 1) AS keyword_label FROM {part}
         UNION ALL
-        SELECT p_partkey, substring(p_name, instr(p_name, ' ') + 1, 99) FROM {part}""",
+        SELECT p_partkey, substring(p_name, instr(p_name, ' ') + 1) FROM {part}""",
     "theme_edge": """
         SELECT title_id, concept_id, least(score, 1.0E0) AS salience
         FROM (SELECT k.title_id, c.concept_id, sum(c.salience) AS score,
@@ -119,7 +119,7 @@ MODEL: dict[str, str] = {
     "edge": """
         SELECT 'g' || CAST(p_partkey AS STRING) AS id, 'title' AS subject_type, p_partkey AS subject_id,
                'belongs_to_genre' AS predicate, 'concept' AS object_type,
-               CAST(substring(p_brand, 7, 3) AS BIGINT) AS object_id, CAST(NULL AS DOUBLE) AS salience,
+               CAST(substring(p_brand, 7) AS BIGINT) AS object_id, CAST(NULL AS DOUBLE) AS salience,
                'asserted' AS provenance, 'tmdb' AS source, 1.0E0 AS confidence FROM {part}
         UNION ALL
         SELECT 't' || CAST(title_id AS STRING) || '-' || CAST(concept_id AS STRING), 'title', title_id,

@@ -146,7 +146,7 @@ def narrate(from_label: Column, steps: Column) -> Column:
         return F.coalesce(filled, plain)
 
     text = F.array_join(F.transform(steps, fragment), ", ")
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000), F.lit("."))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)), F.lit("."))
 
 
 def squash(score: Column, half: float = HALF_SCORE) -> Column:

@@ -45,6 +45,8 @@ SERIES_CLASSES = (
 BARE_KEY = r"^Q[0-9]+$"
 
 CREDIT_KEY = ["person_id", "title_id", "predicate", "episode_id", "job"]
+# Fixed value: how certain a fact is that comes without a confidence of its own.
+CONFIDENCE = 1.0
 EDGE_KEY = ["subject_type", "subject_id", "predicate", "object_type", "object_id"]
 
 
@@ -57,6 +59,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def natural_id(keys: list[str], kind: str = "bigint") -> Column:
+    """An id from the natural key, the same on every ingest; NULL parts count as a value of their own."""
+    marked = F.concat_ws("\t", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys])
+    return F.conv(F.substring(F.md5(marked.cast("binary")), 1, 15), 16, 10).cast(kind)
+
+
+def _identified(rows: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Incoming rows with what the payload cannot say: an id and the declared confidence."""
+    types = dict(current.dtypes)
+    given = {"id": natural_id(keys, types.get("id", "bigint")), "confidence": F.lit(CONFIDENCE).cast(types.get("confidence", "double"))}
+    return rows.withColumns({c: v for c, v in given.items() if c in types and c not in rows.columns})
+
+
 def _upsert(current: DataFrame, incoming: DataFrame, keys: list[str], merge: dict[str, Column]) -> DataFrame:
     """Full outer join on ``keys``; ``merge`` gives the value of a column present on both sides.
 
@@ -183,7 +198,7 @@ def upsert_credits(credit: DataFrame, incoming: DataFrame) -> DataFrame:
         "character_name_raw": F.coalesce("i.character_name_raw", "c.character_name_raw"),
         "episode_count": F.col("i.episode_count"),
     }
-    return _upsert(credit, latest, CREDIT_KEY, {k: v for k, v in merge.items() if k in credit.columns})
+    return _upsert(credit, _identified(latest, credit, CREDIT_KEY), CREDIT_KEY, {k: v for k, v in merge.items() if k in credit.columns})
 
 
 def upsert_edges(edge: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -192,7 +207,7 @@ def upsert_edges(edge: DataFrame, incoming: DataFrame) -> DataFrame:
     ``incoming`` has the key, ``attributes``, ``source``, ``provenance`` and ``written_at``.
     """
     latest = _latest(incoming, EDGE_KEY, "written_at")
-    return _upsert(edge, latest, EDGE_KEY, {"attributes": F.col("i.attributes"), "source": F.col("i.source")})
+    return _upsert(edge, _identified(latest, edge, EDGE_KEY), EDGE_KEY, {"attributes": F.col("i.attributes"), "source": F.col("i.source")})
 
 
 # dimensions and their edges

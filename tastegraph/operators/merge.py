@@ -19,21 +19,21 @@ EDGE_KEY = ["subject_type", "subject_id", "predicate", "object_type", "object_id
 def close_merges(merge_map: DataFrame) -> DataFrame:
     """Point every merged entity at its last survivor, following chains a → b → c.
 
-    Each round doubles the distance covered, so a chain of n needs about log2(n) rounds.
+    Each round doubles the distance covered, so a chain of n merges ends after ceil(log2(n)) rounds; what goes on longer
+    is a cycle and refused.
     """
     current = checkpoint(merge_map.select("merged_id", "surviving_id").distinct())
     if current.filter(F.col("merged_id") == F.col("surviving_id")).limit(1).count():
         raise ValueError("an entity cannot be merged into itself")
     if current.groupBy("merged_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         raise ValueError("an entity cannot be merged into two others")
-    while True:
+    for _ in range(max(current.count(), 1).bit_length() + 1):
         onward = current.select(F.col("merged_id").alias("surviving_id"), F.col("surviving_id").alias("further"))
         stepped = checkpoint(current.join(onward, "surviving_id", "left"))
         if not stepped.filter(F.col("further").isNotNull()).limit(1).count():
             return current
-        if stepped.filter(F.col("further") == F.col("merged_id")).limit(1).count():
-            raise ValueError("the merge map holds a cycle")
         current = stepped.select("merged_id", F.coalesce("further", "surviving_id").alias("surviving_id"))
+    raise ValueError("the merge map holds a cycle")
 
 
 def _repoint(df: DataFrame, column: str, merge_map: DataFrame, when: Column | None = None) -> DataFrame:
@@ -88,7 +88,11 @@ def apply_merges(t: Tables, merge_map: DataFrame, entity_type: str = "title") ->
 
 def merge_moves(t: Tables, merge_map: DataFrame, entity_type: str = "title") -> DataFrame:
     """Everything the merges move: (merged_id, surviving_id, what, item)."""
-    m = close_merges(merge_map)
+    return _moves(t, close_merges(merge_map), entity_type)
+
+
+def _moves(t: Tables, m: DataFrame, entity_type: str) -> DataFrame:
+    """What a closed map moves."""
     owner = "person_id" if entity_type == "person" else "title_id"
     ids = m.select(F.col("merged_id").alias("__id"), "merged_id", "surviving_id")
 
@@ -119,7 +123,7 @@ def merge_log(t: Tables, merge_map: DataFrame, as_of: AsOf, entity_type: str = "
     snapshot = F.to_json(F.struct(*entity.columns), {"ignoreNullFields": "false"})
     name = "title" if entity_type == "title" else "name"
     merged = entity.select(F.col("id").alias("merged_id"), snapshot.alias("snapshot"), F.col(name).alias("display_name"))
-    moved = merge_moves(t, merge_map, entity_type).filter(~F.col("what").isin("external_id", "season", "episode")).groupBy(
+    moved = _moves(t, m, entity_type).filter(~F.col("what").isin("external_id", "season", "episode")).groupBy(
         "merged_id").agg(F.count("*").alias("repointed"))
     gone = collapse_edges(t.edge, m, entity_type).select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("merged_id")).join(
         m.select("merged_id"), "merged_id").groupBy("merged_id").agg(F.count("*").alias("collapsed"))

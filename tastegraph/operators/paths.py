@@ -6,11 +6,14 @@ above the ban are pruned before any join fans out from them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegraph.functions.scalars import edge_cost, narrate
 from tastegraph.operators.views import top_rows
+from tastegraph.plans.lineage import checkpoint
 
 # Path ranking.
 HUB_BAN = 2000
@@ -21,42 +24,47 @@ MAX_OVERLAP = 0.5
 _STEP = ["predicate", "label", "inverse"]
 
 
-def _walkable(eb: DataFrame, degree: DataFrame) -> DataFrame:
-    """Steps a path may take, with the target's degree and the cost of stepping on it."""
+class Frontiers(NamedTuple):
+    """What paths between the pairs are made of, each written once: all steps, those leaving A and those entering B."""
+
+    steps: DataFrame
+    degree: DataFrame
+    out: DataFrame
+    into: DataFrame
+
+
+def _priced(steps: DataFrame, degree: DataFrame) -> DataFrame:
+    """Steps with the target's degree and the cost of stepping on it."""
     d = degree.select(F.col("node_type").alias("object_type"), F.col("node_id").alias("object_id"), "degree")
-    steps = eb.filter(~F.col("excluded_from_path_intermediates")).select(
-        "subject_type", "subject_id", "object_type", "object_id", F.col("canonical_predicate").alias("predicate"),
-        F.col("predicate_label").alias("label"), F.col("is_inverse").alias("inverse"), "path_weight", "confidence")
-    return steps.join(d, ["object_type", "object_id"], "left").select(
-        "subject_type", "subject_id", "object_type", "object_id", "predicate", "label", "inverse",
-        F.coalesce("degree", F.lit(0)).alias("degree"),
-        edge_cost(F.col("path_weight"), F.col("degree"), F.col("confidence")).alias("cost"),
-    )
+    return steps.join(d, ["object_type", "object_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn(
+        "cost", edge_cost(F.col("path_weight"), F.col("degree"), F.col("confidence"))).drop("path_weight", "confidence")
 
 
 def _step(alias: str, to_type: Column, to_id: Column) -> Column:
     return F.struct(*[F.col(f"{alias}.{c}").alias(c) for c in _STEP], to_type.alias("node_type"), to_id.alias("node_id"))
 
 
-def _frontiers(pairs: DataFrame, eb: DataFrame, degree: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All walkable steps, those leaving A towards an allowed middle, and those entering B.
+def frontiers(pairs: DataFrame, eb: DataFrame, degree: DataFrame) -> Frontiers:
+    """Steps leaving A towards an allowed middle and steps entering B.
 
-    The edges at either end are picked by joining the pairs first, so degrees and costs are looked up
-    for the frontiers only.
+    The edges are read and written once in a narrow form; those at either end are picked first and only they are priced.
     """
-    steps = _walkable(eb, degree)
+    steps = checkpoint(eb.filter(~F.col("excluded_from_path_intermediates")).select(
+        "subject_type", "subject_id", "object_type", "object_id", F.col("canonical_predicate").alias("predicate"),
+        F.col("predicate_label").alias("label"), F.col("is_inverse").alias("inverse"), "path_weight", "confidence"))
+    degree = checkpoint(degree.select("node_type", "node_id", "degree"))
     starts = pairs.select("pair_id", "a_type", "a_id", "b_type", "b_id",
                           F.col("a_type").alias("subject_type"), F.col("a_id").alias("subject_id"))
     ends = pairs.select("pair_id", F.col("b_type").alias("object_type"), F.col("b_id").alias("object_id"))
     at_b = (F.col("object_type") == F.col("b_type")) & (F.col("object_id") == F.col("b_id"))
-    out = steps.join(starts, ["subject_type", "subject_id"]).filter((F.col("degree") <= HUB_BAN) & ~at_b)
-    return steps, out, steps.join(ends, ["object_type", "object_id"])
+    out = _priced(steps.join(starts, ["subject_type", "subject_id"]).filter(~at_b), degree).filter(F.col("degree") <= HUB_BAN)
+    into = _priced(steps.join(ends, ["object_type", "object_id"]), degree)
+    return Frontiers(steps, degree, checkpoint(out), checkpoint(into))
 
 
-def paths2(pairs: DataFrame, eb: DataFrame, degree: DataFrame) -> DataFrame:
+def paths2(f: Frontiers) -> DataFrame:
     """Two-hop paths A → m → B."""
-    _, out, into = _frontiers(pairs, eb, degree)
-    o, i = out.alias("o"), into.alias("i")
+    o, i = f.out.alias("o"), f.into.alias("i")
     meet = (
         (F.col("o.pair_id") == F.col("i.pair_id")) & (F.col("o.object_type") == F.col("i.subject_type"))
         & (F.col("o.object_id") == F.col("i.subject_id"))
@@ -70,46 +78,51 @@ def paths2(pairs: DataFrame, eb: DataFrame, degree: DataFrame) -> DataFrame:
     )
 
 
-def paths3(pairs: DataFrame, eb: DataFrame, degree: DataFrame) -> DataFrame:
-    """Three-hop paths A → m1 → m2 → B without returning to an end or staying on a middle."""
-    steps, out, into = _frontiers(pairs, eb, degree)
-    reached = out.select(F.col("object_type").alias("subject_type"), F.col("object_id").alias("subject_id")).distinct()
-    goals = into.select(F.col("subject_type").alias("object_type"), F.col("subject_id").alias("object_id")).distinct()
+def paths3(f: Frontiers, k: int = PATHS_RANKED) -> DataFrame:
+    """Three-hop paths A → m1 → m2 → B without returning to an end or staying on a middle, those that can be among the k cheapest.
+
+    Of the ways from A to one m2 only the k cheapest can be on the k cheapest paths, whichever step enters B, so the
+    others go before the last join.
+    """
+    reached = f.out.select(F.col("object_type").alias("subject_type"), F.col("object_id").alias("subject_id")).distinct()
+    goals = f.into.select(F.col("subject_type").alias("object_type"), F.col("subject_id").alias("object_id")).distinct()
     # the middle step must leave a node A reaches and land on a node that reaches B
-    middle = (
-        steps.filter(F.col("degree") <= HUB_BAN)
-        .join(reached, ["subject_type", "subject_id"], "left_semi")
-        .join(goals, ["object_type", "object_id"], "left_semi")
-    )
-    o, m, i = out.alias("o"), middle.alias("m"), into.alias("i")
-    first = o.join(m, (F.col("m.subject_type") == F.col("o.object_type")) & (F.col("m.subject_id") == F.col("o.object_id")))
+    middle = _priced(
+        f.steps.join(reached, ["subject_type", "subject_id"], "left_semi").join(goals, ["object_type", "object_id"], "left_semi"),
+        f.degree).filter(F.col("degree") <= HUB_BAN)
+    o, m = f.out.alias("o"), middle.alias("m")
 
     def differs(kind: str, ident: str) -> Column:
         return ~((F.col("m.object_type") == F.col(kind)) & (F.col("m.object_id") == F.col(ident)))
 
-    first = first.filter(
+    met = o.join(m, (F.col("m.subject_type") == F.col("o.object_type")) & (F.col("m.subject_id") == F.col("o.object_id"))).filter(
         differs("o.a_type", "o.a_id") & differs("o.b_type", "o.b_id") & differs("o.object_type", "o.object_id"))
-    meet = (
-        (F.col("o.pair_id") == F.col("i.pair_id")) & (F.col("m.object_type") == F.col("i.subject_type"))
-        & (F.col("m.object_id") == F.col("i.subject_id"))
-    )
-    return first.join(i, meet).select(
-        F.col("o.pair_id").alias("pair_id"), F.lit(3).alias("len"),
-        (F.col("o.cost") + F.col("m.cost") + F.col("i.cost")).alias("cost"),
-        F.array(_step("o", F.col("o.object_type"), F.col("o.object_id")),
-                _step("m", F.col("m.object_type"), F.col("m.object_id")),
-                _step("i", F.col("i.object_type"), F.col("i.object_id"))).alias("steps"),
-        (F.col("o.degree") + F.col("m.degree")).alias("deg_sum"),
-    )
-
-
-def rank_paths(p2: DataFrame, p3: DataFrame, k: int = PATHS_RANKED) -> DataFrame:
-    """The k cheapest paths of each pair with their rarity; ties fall to length, then to the steps."""
+    ways = met.select(
+        F.col("o.pair_id").alias("pair_id"), F.col("m.object_type").alias("subject_type"), F.col("m.object_id").alias("subject_id"),
+        (F.col("o.cost") + F.col("m.cost")).alias("way"), (F.col("o.degree") + F.col("m.degree")).alias("deg_sum"),
+        F.array(_step("o", F.col("o.object_type"), F.col("o.object_id")), _step("m", F.col("m.object_type"), F.col("m.object_id"))).alias("first"))
+    # costs are compared to nine digits after the last step is added: within rounding of the k-th nothing is cut
+    place = Window.partitionBy("pair_id", "subject_type", "subject_id").orderBy("way")
+    ways = ways.withColumn("rn", F.row_number().over(place)).withColumn(
+        "bound", F.max(F.when(F.col("rn") <= k, F.col("way"))).over(Window.partitionBy("pair_id", "subject_type", "subject_id")))
+    i = f.into.alias("i")
+    return ways.filter(F.col("way") <= F.col("bound") + 1e-8).join(i, ["pair_id", "subject_type", "subject_id"]).select(
+        "pair_id", F.lit(3).alias("len"), (F.col("way") + F.col("i.cost")).alias("cost"),
+        F.concat("first", F.array(_step("i", F.col("i.object_type"), F.col("i.object_id")))).alias("steps"), "deg_sum")
+
+
+def cheapest(paths: DataFrame, k: int = PATHS_RANKED) -> DataFrame:
+    """The k cheapest of each pair's paths with their rarity; ties fall to length, then to the steps."""
     rarity = 1.0 / (1 + F.log1p(F.col("deg_sum").cast("double")))
-    ranked = top_rows(p2.unionByName(p3), ["pair_id"], [F.round("cost", 9), F.col("len"), F.col("steps")], k, "rank")
+    ranked = top_rows(paths, ["pair_id"], [F.round("cost", 9), F.col("len"), F.col("steps")], k, "rank")
     return ranked.withColumn("rarity", rarity).drop("deg_sum")
 
 
+def rank_paths(f: Frontiers, k: int = PATHS_RANKED) -> DataFrame:
+    """The k cheapest paths of each pair, of two hops or three."""
+    return cheapest(paths2(f).unionByName(paths3(f, k)), k)
+
+
 def diversify(ranked: DataFrame, limit: int = PATHS_RETURNED, overlap: float = MAX_OVERLAP) -> DataFrame:
     """Per pair, walk the ranked paths and keep those whose middles differ enough from the kept ones.
 
@@ -137,7 +150,7 @@ def narrate_paths(paths: DataFrame, pairs: DataFrame, node: DataFrame, meta: Dat
     narration = F.when(F.col("inverse"), F.coalesce("narration_inverse", "narration")).otherwise(
         F.coalesce("narration", "narration_inverse"))
     labels = node.select("node_type", F.col("id").alias("node_id"), F.col("label").alias("object_label"))
-    templates = F.broadcast(meta.select("predicate", "narration", "narration_inverse"))
+    templates = meta.select("predicate", "narration", "narration_inverse")
     steps = (
         paths.select(*key, F.posexplode("steps").alias("i", "s")).select(*key, "i", "s.*")
         .join(labels, ["node_type", "node_id"]).join(templates, "predicate", "left")
@@ -161,5 +174,5 @@ def narrate_paths(paths: DataFrame, pairs: DataFrame, node: DataFrame, meta: Dat
 def find_paths(pairs: DataFrame, eb: DataFrame, degree: DataFrame, node: DataFrame, meta: DataFrame,
                limit: int = PATHS_RETURNED) -> DataFrame:
     """Why the two nodes of each pair are connected: up to ``limit`` diverse, narrated paths."""
-    ranked = rank_paths(paths2(pairs, eb, degree), paths3(pairs, eb, degree))
+    ranked = rank_paths(frontiers(pairs, eb, degree))
     return narrate_paths(diversify(ranked, limit), pairs, node, meta)

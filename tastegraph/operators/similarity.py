@@ -285,12 +285,12 @@ def franchise_pairs(t: Tables, k: int = PER_TITLE) -> DataFrame:
     return strongest_pairs(t, ("franchise",), k)
 
 
-def combine_signals(signals: list[DataFrame]) -> DataFrame:
-    """Sum pairs (x, y, score, reason) over signals; the reason is that of the largest."""
-    rows = reduce(DataFrame.unionByName, signals)
-    return rows.groupBy("x", "y").agg(
-        F.round(F.sum("score"), 9).alias("score"),
-        F.min_by("reason", F.struct((-F.round("score", 9)).alias("s"), "reason")).alias("reason"))
+def combine_signals(t: Tables, signals: tuple[str, ...] = SIGNALS, k: int = PER_TITLE) -> DataFrame:
+    """Pairs (x, y, score, reason) summed over whole signals, none of them cut before; the reason is that of the largest.
+
+    Holds every title's k strongest partners on either side, so it is to be ranked by ``rank_both_ends``.
+    """
+    return scored_pairs(t, signals, k)
 
 
 def similar_edges(kept: DataFrame) -> DataFrame:
