@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.storage import written
+from tastegraph.plans.lineage import checkpoint
+
 #: Leading tokens of the tree, documents in which a template recurs, most variable fields in a hundred tokens beside
 #: numbers, least literal tokens in a hundred.
 DEPTH, DOCUMENTS, FREE, LITERAL = 3, 3, 20, 50
 FIELD = "<*>"
 
 
+#: Words of 64 bits of the filter that keeps most lines out of the closer look; its size is fixed whatever the input's.
+FILTER_WORDS = 1 << 16
+
+
 def masked(line: Column) -> Column:
     """The line's tokens with single spaces between, tokens that hold a digit as variable fields."""
-    spaced = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
-    return F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
+    odd = [F.instr(line, x) > 0 for x in ("  ", "\t", "\r", "\f", "\x0b")]
+    spaced = F.trim(F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(spaced)
 
 
 def _lines(documents: DataFrame, depth: int) -> DataFrame:
@@ -26,6 +34,14 @@ def _lines(documents: DataFrame, depth: int) -> DataFrame:
         "leaf", F.xxhash64("size", F.substring_index("masked", " ", depth)))
 
 
+def _word(leaf: Column) -> Column:
+    return F.pmod(leaf, F.lit(FILTER_WORDS)).cast("int")
+
+
+def _bit(leaf: Column) -> Column:
+    return F.pmod(F.shiftright(leaf, 20), F.lit(64)).cast("int")
+
+
 def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUMENTS, free: int = FREE, literal: int = LITERAL) -> DataFrame:
     """(d, t, line_no) of the lines whose template recurs, but for the first line of each template.
 
@@ -35,13 +51,21 @@ def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUM
     less than ``literal`` in a hundred of whose tokens are literal is no template of others and meets its exact repeats only. A
     template recurs if it has lines in ``least`` documents; the line of the smallest (doc_id, place) is the one that stays.
 
-    Equal lines are counted before they travel, so a line that a third of all documents share is one row a task.
+    Lines travel as hashes. The words of a line are looked at only in busy leaves, which a filter of fixed size tells at the
+    scan, before an exact join; equal lines are counted first, so a line that a third of all documents share is one row a task.
     """
-    lines = _lines(documents, depth)
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf")
-    found = lines.join(busy, "leaf").select(
-        "d", "t", "line_no", "leaf", "masked", "size", F.xxhash64("masked").alias("v"), F.xxhash64("line").alias("own"))
-    variants = found.groupBy("leaf", "v", "masked", "size").agg(F.count("*").alias("n"))
+    hashed = written(_lines(documents, depth).select("d", "t", "line_no", "leaf", F.xxhash64("masked").alias("v"), F.xxhash64("line").alias("own")))
+    busy = checkpoint(hashed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"))
+    bits = F.broadcast(busy.groupBy(_word(F.col("leaf")).alias("word")).agg(  # at most FILTER_WORDS rows
+        F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(leaf, 20), 64) as int))")).alias("bits")))
+
+    def likely(lines: DataFrame) -> DataFrame:
+        return lines.withColumn("word", _word(F.col("leaf"))).join(bits, "word").where(F.getbit("bits", _bit(F.col("leaf"))) == 1).drop("word", "bits")
+
+    found = checkpoint(likely(hashed).join(busy, "leaf"))
+    counts = found.groupBy("leaf", "v").agg(F.count("*").alias("n"))
+    texts = likely(_lines(documents, depth)).select("leaf", F.xxhash64("masked").alias("v"), "masked", "size").dropDuplicates(["leaf", "v"])
+    variants = checkpoint(texts.join(counts, ["leaf", "v"]))
     tokens = variants.select("leaf", "v", "n", "size", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(
         "leaf", "at", "token", F.lit(True).alias("common"))
