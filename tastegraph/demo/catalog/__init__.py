@@ -1,3 +1,3 @@
 """The registered queries, one module per part of the library."""
 
-from tastegraph.demo.catalog import columns, flow, graph, ingest, people, views  # noqa: F401
+from tastegraph.demo.catalog import columns, flow, graph, ingest, merges, people, views  # noqa: F401
