@@ -56,18 +56,26 @@ def limiter_stream(hits: DataFrame, limit: int, window_seconds: int, out: str, s
 
 
 def transitions_stream(events: DataFrame, out: str, state: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Log the status transitions of a stream; the last status per account and title is carried."""
+    """Log the status transitions of a stream; the last status per account and title is carried.
+
+    A row older than what its account and title have already seen cannot be logged without changing what was logged before. It goes
+    to the side table ``<out>_late`` instead, for the batch fold to take in; what is logged equals the batch fold over the other rows.
+    """
     types = dict(events.dtypes)
     cols = ["account_id", "title_id", "event_id", "occurred_at", "status"]
     schema = ", ".join(f"{c} {types[c]}" for c in cols)
+    at = F.struct("occurred_at", "event_id")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         before = _carried(batch.sparkSession, state, batch_id, schema)
-        fresh = batch.select(*cols)
+        seen = before.select(*KEY, at.alias("seen"))
+        judged = batch.select(*cols).join(seen, KEY, "left").withColumn("late", F.coalesce(at < F.col("seen"), F.lit(False)))
+        judged.filter("late").select(*cols).write.mode("overwrite").parquet(f"{out}_late/v={batch_id}")
+        fresh = judged.filter("not late").select(*cols)
         both = before.unionByName(fresh)
         logged = status_transitions(both).join(fresh.select("event_id"), "event_id", "left_semi")
         logged.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
-        last = both.groupBy(*KEY).agg(F.max_by(F.struct("event_id", "occurred_at", "status"), F.struct("occurred_at", "event_id")).alias("e"))
+        last = both.groupBy(*KEY).agg(F.max_by(F.struct("event_id", "occurred_at", "status"), at).alias("e"))
         last.select(*KEY, "e.event_id", "e.occurred_at", "e.status").write.mode("overwrite").parquet(f"{state}/v={batch_id}")
 
     return _run(events, each, checkpoint, available_now)
