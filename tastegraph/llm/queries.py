@@ -83,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tastegraph.llm import line_dedup
+    from tastegraph.llm import line_dedup, sharding, url_filter
 
-    return {"op1_drop_recurring_lines": line_dedup.SQL}
+    return {"op1_drop_recurring_lines": line_dedup.SQL, "op8_shard_documents": sharding.SQL, "op9_filter_urls": url_filter.SQL}

@@ -62,3 +62,31 @@ def shard_documents(documents: DataFrame, shards: int = 16, seed: int = 42, slic
         (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
     return interleave(rows, "doc_id", "source", shards, seed, slices).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def _crc_steps() -> list[int]:
+    """What a byte shifted out of a CRC-32 leaves in it."""
+    steps = []
+    for crc in range(256):
+        for _ in range(8):
+            crc = crc >> 1 ^ (0xEDB88320 if crc & 1 else 0)
+        steps.append(crc)
+    return steps
+
+
+#: The same in SQL with 16 shards and seed 42; the checksum is computed a byte at a time.
+SQL = f"""
+WITH bytes AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (
+  SELECT doc_id, source, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+         lambda crc, byte: xor(crc >> 8, {_crc_steps()}[(xor(crc, byte) & 255) + 1]))) AS text_crc32 FROM bytes),
+dealt AS (
+  SELECT *, coalesce('=' || source, 'null') AS stratum, md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM summed),
+placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id) - ('0x' || substr(md5('42:' || stratum), 1, 8))::BIGINT / 4294967296.0::DOUBLE)
+            / count(*) OVER (PARTITION BY stratum) AS place FROM dealt),
+ordered AS (SELECT *, row_number() OVER (ORDER BY place, stratum, digest, doc_id) - 1 AS pos, count(*) OVER () AS total FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos * 16 // total)::INTEGER AS shard,
+       (pos - ((pos * 16 // total) * total + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM ordered
+"""

@@ -92,3 +92,31 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
         counted.withColumns({"host": host, "path": path}).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
         .select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", said).alias("verdict"),
                 "url", "strict_terms", "soft_terms"))
+
+
+def _listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(set(words))) + "]"
+
+
+#: The same in SQL for the rules and lists above, a pattern for each term in place of the automaton.
+SQL = f"""
+WITH parts AS (
+  SELECT page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+named AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, lower(coalesce(url, '')) AS low FROM parts),
+rules(rule, said) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in RULES)}),
+fitting AS (
+  SELECT page_id, url, max_by(rule, length(rule)) AS rule, max_by(said, length(rule)) AS said
+  FROM (SELECT DISTINCT page_id, url, host, path FROM named) AS n JOIN rules
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, rule[strpos(rule, '/'):])
+  GROUP BY page_id, url),
+found AS (
+  SELECT *, list_filter({_listed(STRICT)}, lambda w: regexp_matches(low, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')) AS strict_terms,
+         list_filter({_listed(tuple(set(SOFT) - set(STRICT)))}, lambda w: regexp_matches(low, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')) AS soft_terms
+  FROM named)
+SELECT f.page_id, f.host, f.path, r.rule,
+       coalesce(r.said, CASE WHEN len(strict_terms) > 0 OR len(soft_terms) >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       f.url, strict_terms, soft_terms
+FROM found AS f LEFT JOIN fitting AS r ON r.page_id IS NOT DISTINCT FROM f.page_id AND r.url IS NOT DISTINCT FROM f.url
+"""
