@@ -11,9 +11,9 @@ from tastegraph.functions import text as X
 c = F.col
 
 
-@query("normalize_title", f"SELECT incoming_id, {norm_title('headline')} AS normalized FROM {{er_incoming}}")
+@query("normalize_title", f"SELECT incoming_id, {norm_title('content')} AS normalized FROM {{er_incoming}}")
 def normalize_title(t):
-    return t.er_incoming.select("incoming_id", X.normalize_title(c("headline")).alias("normalized"))
+    return t.er_incoming.select("incoming_id", X.normalize_title(c("content")).alias("normalized"))
 
 
 @query("strip_diacritics", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
@@ -21,12 +21,12 @@ def strip_diacritics(t):
     return t.documents.select("doc_id", X.strip_diacritics(c("text")).alias("folded"))
 
 
-@query("normalize_person_name", f"SELECT incoming_id, {norm_person('headline')} AS normalized FROM {{er_incoming}}")
+@query("normalize_person_name", f"SELECT incoming_id, {norm_person('content')} AS normalized FROM {{er_incoming}}")
 def normalize_person_name(t):
-    return t.er_incoming.select("incoming_id", X.normalize_person_name(c("headline")).alias("normalized"))
+    return t.er_incoming.select("incoming_id", X.normalize_person_name(c("content")).alias("normalized"))
 
 
-_N = norm_person("headline")
+_N = norm_person("content")
 
 
 @query("person_sort_name", f"""
@@ -34,13 +34,13 @@ _N = norm_person("headline")
            ELSE string_split(n, ' ')[-1] || ' ' || array_to_string(string_split(n, ' ')[1:-2], ' ') END AS sort_name
     FROM (SELECT incoming_id, {_N} AS n FROM {{er_incoming}}) x""")
 def person_sort_name(t):
-    return t.er_incoming.select("incoming_id", X.person_sort_name(c("headline")).alias("sort_name"))
+    return t.er_incoming.select("incoming_id", X.person_sort_name(c("content")).alias("sort_name"))
 
 
-@query("slugify", f"SELECT incoming_id, {slug('headline')} AS slug, {slug('headline')} || '-' || release_year AS dated FROM {{er_incoming}} WHERE release_year IS NOT NULL")
+@query("slugify", f"SELECT incoming_id, {slug('content')} AS slug, {slug('content')} || '-' || release_year AS dated FROM {{er_incoming}} WHERE release_year IS NOT NULL")
 def slugify(t):
     dated = t.er_incoming.filter(c("release_year").isNotNull())
-    return dated.select("incoming_id", X.slugify(c("headline")).alias("slug"), X.slugify(c("headline"), c("release_year")).alias("dated"))
+    return dated.select("incoming_id", X.slugify(c("content")).alias("slug"), X.slugify(c("content"), c("release_year")).alias("dated"))
 
 
 @query("trigram_similarity", f"""

@@ -274,7 +274,7 @@ MODEL: dict[str, str] = {
         FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id""",
     "er_incoming": """
         SELECT doc_id AS incoming_id, lang AS kind, source || ' ' || CAST(n_chars AS STRING) AS title,
-               split_part(replace(text, chr(10), '.'), '.', 1) AS headline,
+               text AS content,
                CASE WHEN n_chars > 120 THEN CAST(1990 + floor(n_chars / 200) AS INT) END AS release_year,
                n_chars AS runtime_minutes,
                CAST(doc_id AS STRING) AS source_id, 'ext' || CAST(n_chars AS STRING) AS imdb_id

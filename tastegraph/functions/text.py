@@ -62,8 +62,20 @@ def strip_diacritics(col: Column) -> Column:
         plain = (c <= "\x7f") | c.between("\u4e00", "\u9fff")
         return F.when(plain, c).otherwise(F.coalesce(letters[c], c))
 
+    # most texts hold no letter that becomes several: they skip the walk over their letters
     expanded = F.array_join(F.transform(F.split(folded, ""), expand), "")
-    return F.when(folded.rlike(r"^\p{ASCII}*$"), folded).otherwise(expanded)
+    return F.when(folded.rlike(_any_of(expanding)), expanded).otherwise(folded)
+
+
+def _any_of(letters: dict[str, str]) -> str:
+    """A pattern for any of the letters, neighbours joined to ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
 
 
 def _folded(col: Column) -> Column:
