@@ -263,10 +263,10 @@ def availability_worklist(t):
 @query("missing_episode_worklist", """
     SELECT t.id, x.source_id AS provider_id FROM {title} t JOIN {external_id} x ON x.entity_type = 'title' AND x.entity_id = t.id AND x.source = 'tmdb_tv'
     WHERE t.kind = 'show' AND t.id IN (SELECT title_id FROM {title_state})
-      AND t.id NOT IN (SELECT title_id FROM {episode} WHERE air_date < DATE '1998-01-01')""")
+      AND t.id NOT IN (SELECT title_id FROM {episode} WHERE air_date < DATE '1997-01-01')""")
 def missing_episode_worklist(t):
-    # episodes before 1998 stand for those already fetched
-    return O.missing_episode_worklist(t.replace(episode=t.episode.filter("air_date < DATE '1998-01-01'")))
+    # episodes before 1997 stand for those already fetched
+    return O.missing_episode_worklist(t.replace(episode=t.episode.filter("air_date < DATE '1997-01-01'")))
 
 
 # listings
@@ -274,9 +274,12 @@ def missing_episode_worklist(t):
 _KIND = "CASE media_type WHEN 'tv' THEN 'show' WHEN 'movie' THEN 'movie' END"
 
 
-@query("union_listings", f"SELECT {_KIND} AS kind, provider_id, min(position) AS position FROM {{listing}} WHERE media_type <> 'person' GROUP BY 1, 2")
+@query("union_listings", f"""
+    SELECT {_KIND} AS kind, provider_id, min(CASE WHEN popularity > 940 THEN position ELSE position + 1000000 END) AS position FROM {{listing}} WHERE media_type <> 'person' GROUP BY 1, 2""")
 def union_listings(t):
-    return L.union_listings([t.listing, t.listing.filter("popularity > 950")])
+    # two listings that overlap: what is popular, and after it what is not very popular
+    rest = t.listing.filter("popularity <= 960").withColumn("position", c("position") + 1_000_000)
+    return L.union_listings([t.listing.filter("popularity > 940"), rest])
 
 
 @query("new_releases", f"""

@@ -31,7 +31,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def check_declared(edges: DataFrame, meta: DataFrame) -> DataFrame:
     """Edges whose predicate is not declared."""
-    unknown = edges.join(F.broadcast(meta.select("predicate")), "predicate", "left_anti")
+    unknown = edges.join(meta.select("predicate"), "predicate", "left_anti")
     return violations(unknown, "declared", "edge", F.col("id"), F.col("predicate"))
 
 
@@ -126,7 +126,7 @@ def check_ontology(meta: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(n) for n in ENTITY_TYPES])
     key, c = F.col("predicate"), F.col
     # a dozen rows against themselves: an inverse must not be another predicate's name
-    names = F.broadcast(meta.select(c("predicate").alias("other")))
+    names = meta.select(c("predicate").alias("other"))
     clash = meta.filter(~c("is_symmetric")).join(names, c("inverse") == c("other"), "left_semi")
     twice = meta.groupBy("inverse").agg(F.count("*").alias("n"), F.min("predicate").alias("predicate")).filter("n > 1")
     return _union([

@@ -47,10 +47,11 @@ def export_sets(t: Tables, account_ids: DataFrame, as_of: AsOf) -> dict[str, Dat
     return sets
 
 
-def export_json(t: Tables, account_ids: DataFrame, path: str, as_of: AsOf) -> None:
-    """Write every set as JSON lines, one folder per account."""
+def export_json(t: Tables, account_ids: DataFrame, path: str, as_of: AsOf, buckets: int = 64) -> None:
+    """Write every set as JSON lines, accounts dealt to a fixed number of folders by a hash and named in every line."""
     for name, rows in export_sets(t, account_ids, as_of).items():
-        rows.write.mode("overwrite").partitionBy("account_id").json(f"{path}/{name}")
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("account_id"), F.lit(buckets)).cast("int"))
+        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(f"{path}/{name}")
 
 
 def _field(col: Column) -> Column:

@@ -181,4 +181,4 @@ def load_crosswalk(spark: SparkSession, source: str | dict[str, Any]) -> tuple[D
 
 def with_meta(edges: DataFrame, meta: DataFrame, how: str = "inner") -> DataFrame:
     """Edges with their predicate's declaration; the declaration is a fixed handful of rows."""
-    return edges.join(F.broadcast(meta), "predicate", how)
+    return edges.join(meta, "predicate", how)
