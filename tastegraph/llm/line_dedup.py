@@ -18,20 +18,30 @@ FIELD = "<*>"
 FILTER_WORDS = 1 << 16
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens with single spaces between, tokens that hold a digit as variable fields."""
+def spaced(line: Column) -> Column:
+    """The line's tokens with single spaces between."""
     odd = [F.instr(line, x) > 0 for x in ("  ", "\t", "\r", "\f", "\x0b")]
-    spaced = F.trim(F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(spaced)
+    return F.trim(F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
+
+
+def masked(tokens: Column) -> Column:
+    """Spaced tokens, those that hold a digit as variable fields."""
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(tokens)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once a row: as the item of an array it is not copied into what is made of it later."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _lines(documents: DataFrame, depth: int) -> DataFrame:
     """(d, t, line_no, line, masked, size, leaf) of every line with a token; d and t name the document."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("doc_id", "text").alias("t")]
-    rows = documents.select(*key, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("masked", masked(F.col("line")))
+    rows = documents.select(*key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = _once(_once(rows, "tokens", spaced(F.col("line"))), "masked", masked(F.col("tokens"))).where("masked <> ''")
     size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return rows.where("masked <> ''").withColumn("size", size).withColumn(
-        "leaf", F.xxhash64("size", F.substring_index("masked", " ", depth)))
+    rows = rows.withColumn("size", size)
+    return _once(rows, "leaf", F.xxhash64("size", F.substring_index("masked", " ", depth))).drop("tokens")
 
 
 def _word(leaf: Column) -> Column:
