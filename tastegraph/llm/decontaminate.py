@@ -17,19 +17,28 @@ from tastegraph.llm.words import CACHE, pieces, split_words
 #: Words of a passage and of the step to the next, share of an item's own score that retrieves it, words of a compared
 #: run, share of the runs of question and of answer that a leak must hold.
 PASSAGE, STEP, RETRIEVED, RUN, HELD = 64, 32, 0.5, 5, 0.6
+#: Words up to which one changed word can take a half below ``HELD`` of its runs; words that may be added or missing where a half is looked for.
+SHORT, SLACK = 16, 2
 #: BM25's two parameters.
 K1, B = 1.2, 0.75
 #: Parts of items in an index block, terms whose block impacts are kept as a dense table, passages scored at once;
 #: characters of items in one index. More items are searched for in several indexes, one after another.
 BLOCK, DENSE, ROWS, INDEX_CHARS = 4, 256, 1024, 2_000_000
 
-_EDGES = b".,;:!?\"'()[]{}<>*_`|"
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
+def _term(word: bytes) -> bytes:
+    """A word without what is neither letter nor digit at its ends."""
+    if word.isalnum():
+        return word
+    return _EDGES.sub("", word.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
+
+
 def terms_of(text: str | None) -> list[bytes]:
     """Words in lower case without signs around them; signs alone are no words."""
-    return [t for w in split_words(text) if (t := w.strip(_EDGES))]
+    return [t for w in split_words(text) if (t := _term(w))]
 
 
 def halves(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -59,6 +68,7 @@ class Index:
     item_ids: list[int]
     question: list[set]
     answer: list[set]
+    sides: list[list[list[int]]]  # words of question and of answer
     lengths: list[int]
     top: np.ndarray  # largest impact of a term on any item; the last entry, 0, is of words outside the index
     dense: np.ndarray  # (term, block)
@@ -110,9 +120,10 @@ def build(items: list[tuple[int, str | None]], retrieved: float = RETRIEVED) ->
             for t, v in impact.items():
                 rows.setdefault(ids[t], np.zeros(BLOCK))[k] = v
         impacts.append(rows)
-    sides = [[_runs([ids[t] for t in part]) for part in halves(text)] for _, text, _ in known]
+    words = [[[ids[t] for t in part] for part in halves(text)] for _, text, _ in known]
+    sides = [[_runs(part) for part in pair] for pair in words]
     return Index(
-        ids, [i for i, _, _ in known], [q for q, _ in sides], [a for _, a in sides], [len(w) for _, _, w in known],
+        ids, [i for i, _, _ in known], [q for q, _ in sides], [a for _, a in sides], words, [len(w) for _, _, w in known],
         np.array([max(tops[t].values()) for t in names] + [0.0]), dense, np.cumsum([0] + [len(x) for x in listed]),
         np.array([b for x in listed for b, _ in x], np.int64), np.array([v for x in listed for _, v in x], np.float64), impacts,
         [[item for item, _ in group] for group in groups])
@@ -128,7 +139,7 @@ class TermIds(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE // 2:
             self.clear()
-        term = word.strip(_EDGES)
+        term = _term(word)
         value = self[word] = self.index.term_ids.get(term, -1) if term else -2
         return value
 
@@ -190,8 +201,15 @@ def leaks(texts: list[str | None], index: Index, known: TermIds) -> list[list[tu
     for p, item, score in sorted(set(retrieve(grid, index))):
         ids, at, held = numbered[owner[p]], int(first[p]), best[owner[p]]
         reach = index.lengths[item]
-        near = _runs_of(ids[max(0, at - reach) : at + PASSAGE + reach].tolist(), index, item)
+        words = ids[max(0, at - reach) : at + PASSAGE + reach].tolist()
+        near = _runs_of(words, index, item)
         q, a = (len(near & part) / len(part) if part else 1.0 for part in (index.question[item], index.answer[item]))
+        question, answer = index.sides[item]
+        # a short half may have lost all its runs by one word; it is looked for beside the other half
+        if q >= HELD > a and len(answer) <= SHORT:
+            a = max(a, _beside(words, question, answer))
+        elif a >= HELD > q and len(question) <= SHORT:
+            q = max(q, _beside(words[::-1], answer[::-1], question[::-1]))
         if q >= HELD and a >= HELD and (item not in held or (q + a, score) > (held[item][3] + held[item][4], held[item][2])):
             held[item] = (index.item_ids[item], at, score, q, a)
     return [sorted(h.values(), key=lambda x: (x[0] is None, x[0] or 0)) for h in best]
@@ -203,11 +221,34 @@ def _runs_of(ids: list[int], index: Index, item: int) -> set:
     return {tuple(ids[i : i + n]) for n in sizes for i in range(len(ids) - n + 1)}
 
 
+def _beside(words: list[int], held: list[int], short: list[int]) -> float:
+    """Share of the words of ``short`` that follow ``held`` in their order, wherever runs of ``held`` say that it ends."""
+    n = min(RUN, len(held))
+    at: dict[tuple[int, ...], int] = {tuple(held[i : i + n]): i for i in range(len(held) - n + 1)}
+    ends: dict[int, int] = {}  # where held ends, by where a run that says so ends
+    for p in range(len(words) - n + 1):
+        i = at.get(tuple(words[p : p + n]))
+        if i is not None:
+            ends[p + len(held) - i] = p + n
+    return max((_in_order(short, words[max(e - SLACK, run) : e + len(short) + SLACK]) for e, run in ends.items()), default=0) / len(short)
+
+
+def _in_order(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, start_word, score, question_overlap, answer_overlap): every item that a document's whole text holds.
 
     An item's passages are retrieved by BM25 from every window of a text's words, all of them above the threshold, and count
-    if runs of words of both its question and its answer are there. Items are indexed up to
+    if runs of words of both its question and its answer are there; a short half whose runs are broken counts by the share of its
+    words that stand in order beside the other half. Items are indexed up to
     ``index_chars`` characters at a time, so an index is of bounded size whatever the benchmark's; all documents are read once for each.
     Rows with NULL or empty texts, in either table, leak nothing; repeated rows give repeated results.
     """

@@ -74,3 +74,22 @@ def test_odd_rows(spark, docs):
     assert found == {(3, 1), (None, 1), (4, 1), (5, None), (6, 4)}
     assert find_leaks(docs(), benchmark).count() == 0 and find_leaks(docs(*rows), benchmark.limit(0)).count() == 0
     assert sorted((r["doc_id"] for r in drop_leaks(docs(*rows), benchmark).collect()), key=repr) == [1, 2, None]
+
+
+def test_glued_signs_and_one_changed_word(spark, docs):
+    rng = random.Random(11)
+    items, rows, held = [], [], set()
+    for i in range(60):
+        question, answer = words(rng, 24), words(rng, 3 + i % 14)
+        if i % 3 == 2:
+            question, answer = answer, question  # the short half comes first
+        items.append((i, f"{' '.join(question)}? {' '.join(answer)}."))
+        short = min(question, answer, key=len)
+        if i % 2:
+            short[rng.randrange(len(short))] = "zzz"
+        short[-1] = f"%{short[-1]}#$&"
+        rows.append((i, " ".join([*words(rng, 40), *question, *answer, *words(rng, 40)])))
+        held.add((i, i))
+    rows += [(100 + i, f"{' '.join(words(rng, 30))} {t.split('? ')[i % 3 == 2]} {' '.join(words(rng, 30))}") for i, t in items]  # the long half alone
+    found = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(*rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert held <= found and found <= held
