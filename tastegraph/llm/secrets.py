@@ -17,10 +17,13 @@ from tastegraph.llm.words import CACHE, pieces
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Where a credential may be named and its value follow, wider than the base kind.
+#: Where a credential may be named and its value follow, wider than the base kind. The value is looked at, not taken: it may be
+#: a name itself, with the value behind it.
 CONTEXT = re.compile(
     r"(?ai)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|"
-    r"credentials?|auth|bearer|login)(?![a-z0-9])[\"'\x20]*(?:(?:is|was|:=|=>|->|[:=])[\x20\"'`]*|\x20)([^\s\"'`,;<>(){}\[\]]{6,256})")
+    r"credentials?|auth|bearer|login)(?![a-z0-9])[\"'\x20]*(?:(?:is|was|:=|=>|->|[:=])[\x20\"'`]*|\x20)(?=[^\s\"'`,;<>(){}\[\]]{6})")
+#: Where a value ends, and the most characters of it that count.
+END, LONGEST = re.compile(r"[\s\"'`,;<>(){}\[\]]"), 256
 #: Guesses, as a power of ten, from which a value counts as a secret.
 LEAST_GUESSES = 10.0
 #: Characters that a run by brute force may take, by class: how many there are of each. Fixed values.
@@ -124,9 +127,17 @@ def find_secrets(text: str | None, least: float = LEAST_GUESSES, known: dict[str
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     known = {} if known is None else known
     taken = sorted((s, e) for _, s, e in found)
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?")
-        s, e = m.start(1), m.start(1) + len(value)
+    stop = judged = 0  # end of the word at hand, up to where values are judged
+    names = list(CONTEXT.finditer(text))
+    starts = {m.start() for m in names}
+    for s in (m.end() for m in names):
+        if s < judged or s in starts:
+            continue
+        if s >= stop:
+            stop = end.start() if (end := END.search(text, s)) else len(text)
+        judged = stop
+        value = text[s : min(stop, s + LONGEST)].rstrip(".:!?")
+        e = s + len(value)
         if len(value) < 6 or any(a < e and s < b for a, b in taken):
             continue
         if value not in known:

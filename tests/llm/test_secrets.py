@@ -52,3 +52,10 @@ def test_offsets_are_code_points_and_odd_rows(docs):
     assert all(r["spans"] == joined(spans) and r["base_sha256"] == hashlib.sha256(joined(spans).encode()).hexdigest() for r in out if r["doc_id"] == 3)
     assert [r["spans"] for r in out if r["doc_id"] is None] == ["guess:5:17"]
     assert scan_secrets(docs()).count() == 0
+
+
+def test_a_name_as_value_hides_no_value():
+    value = "8fJ2kQ9zLpXw"
+    for text in ("the login password is {}", "our secret password is {} now", "my pin password was {}", "auth bearer token -> {}", "login pwd={}"):
+        at = text.index("{")
+        assert ("guess", at, at + len(value)) in find_secrets(text.format(value)), text
