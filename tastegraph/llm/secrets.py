@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +22,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: a name itself, with the value behind it.
 CONTEXT = re.compile(
     r"(?ai)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|"
-    r"credentials?|auth|bearer|login)(?![a-z0-9])[\"'\x20]*(?:(?:is|was|:=|=>|->|[:=])[\x20\"'`]*|\x20)(?=[^\s\"'`,;<>(){}\[\]]{6})")
-#: Where a value ends, and the most characters of it that count.
-END, LONGEST = re.compile(r"[\s\"'`,;<>(){}\[\]]"), 256
+    r"credentials?|auth|bearer|login)(?![a-z0-9])[\"'\x20]*(?:(?:is|was|(:=|=>|->|[:=]))[\x20\"'`]*|\x20)(?=[^\s\"'`,;<>(){}\[\]]{6})")
+#: Where a value ends, and characters of it that are priced at once.
+END, PIECE = re.compile(r"[\s\"'`,;<>(){}\[\]]"), 256
 #: Guesses, as a power of ten, from which a value counts as a secret.
 LEAST_GUESSES = 10.0
+#: The same for the longest word of a value that reads like words, where no sign is between name and value, as in prose.
+PROSE_GUESSES = 30.0
 #: Characters that a run by brute force may take, by class: how many there are of each. Fixed values.
 CARDINALITY = {"lower": 26, "upper": 26, "digit": 10, "other": 33}
 #: Common parts of passwords and words of everyday use by rank; the guess cost of one is its rank. Fixed values.
@@ -113,11 +116,28 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n][0], spans[::-1]
 
 
+_JOINED = re.compile(r"(?:[^\W\d]|[-./:*–—…])+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])")
+
+
+def long_cost(value: str) -> float:
+    """Guess cost of a value of any length: that of its hardest piece, so that the work grows with the length."""
+    return max((guess_cost(p)[0] for p in {value[i : i + PIECE] for i in range(0, len(value), PIECE)}), default=0.0)
+
+
+def like_words(value: str) -> bool:
+    """Letters joined by signs of prose, names and paths alone, whose case changes as in words and names put together."""
+    runs = _LETTERS.findall(value)
+    return bool(runs and _JOINED.fullmatch(value)) and (len(_WORD.findall(value)) - len(runs)) * 4 <= sum(map(len, runs))
+
+
 def find_secrets(text: str | None, least: float = LEAST_GUESSES, known: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in a whole text, in code points, by start and then by kind.
 
     Kinds are assign, access and hex, found leftmost and without overlap each, and guess: a value in a credential's context that
-    takes 10 ** ``least`` guesses or more and holds no other span.
+    takes 10 ** ``least`` guesses or more and reaches beyond the other spans. Where prose may follow a name, a value that reads
+    like words is a secret if one of its words takes 10 ** ``PROSE_GUESSES``.
     """
     if not text:
         return []
@@ -126,27 +146,40 @@ def find_secrets(text: str | None, least: float = LEAST_GUESSES, known: dict[str
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     known = {} if known is None else known
-    taken = sorted((s, e) for _, s, e in found)
+    taken: list[tuple[int, int]] = []  # without overlap
+    for a, b in sorted((s, e) for _, s, e in found):
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     stop = judged = 0  # end of the word at hand, up to where values are judged
     names = list(CONTEXT.finditer(text))
     starts = {m.start() for m in names}
-    for s in (m.end() for m in names):
+    for m in names:
+        s = m.end()
         if s < judged or s in starts:
             continue
         if s >= stop:
             stop = end.start() if (end := END.search(text, s)) else len(text)
-        judged = stop
-        value = text[s : min(stop, s + LONGEST)].rstrip(".:!?")
+        value = text[s:stop].rstrip(".:!?")
         e = s + len(value)
-        if len(value) < 6 or any(a < e and s < b for a, b in taken):
+        at = bisect_right(taken, (s, len(text))) - 1
+        if len(value) < 6 or at >= 0 and e <= taken[at][1]:
             continue
-        if value not in known:
+        prose = m[1] is None and like_words(value)
+        if not prose:
+            judged = stop  # what follows inside it costs no more
+        priced, limit = (max(_LETTERS.findall(value), key=len), PROSE_GUESSES) if prose else (value, least)
+        cost = known.get(priced)
+        if cost is None:
+            cost = long_cost(priced)
             if len(known) >= CACHE // 10:
                 known.clear()
-            known[value] = guess_cost(value)[0]
-        # words of prose follow such names too: a secret mixes letters with digits or signs
-        if known[value] >= least and len({_class(c) for c in value} - {"other"}) >= 2 and any(_class(c) == "digit" for c in value):
+            if len(priced) <= PIECE:
+                known[priced] = cost
+        if cost >= limit:
             found.append(("guess", s, e))
+            judged = stop
     order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
     return sorted(found, key=lambda f: (f[1], order[f[0]], f[2]))
 

@@ -59,3 +59,17 @@ def test_a_name_as_value_hides_no_value():
     for text in ("the login password is {}", "our secret password is {} now", "my pin password was {}", "auth bearer token -> {}", "login pwd={}"):
         at = text.index("{")
         assert ("guess", at, at + len(value)) in find_secrets(text.format(value)), text
+
+
+@pytest.mark.parametrize("name", ["pwd is ", "bearer ", "login: "])
+def test_values_are_priced_whole_and_by_cost_alone(name):
+    for value in ("kTqBvXmWzRdLpYhNcJsG", "83920174659302746158", "xk$Qv#Tz!mWp^Lr", hashlib.sha512(b"x").hexdigest().upper() * 4):
+        assert ("guess", len(name), len(name) + len(value)) in find_secrets(f"{name}{value} now"), value
+    assert find_secrets(f"{name}{'z' * 200_000} now") == []
+
+
+def test_a_value_beyond_a_base_span_and_prose():
+    assert find_secrets("password=Summer$2024!xK") == [("assign", 0, 15), ("guess", 9, 23)]
+    assert find_secrets("password=Kx8Qv2Tz9mWp4Lr") == [("assign", 0, 24)]
+    for text in ("the password internationalization layer", "login is unfortunately broken", "token https://www.example.org/page/index", "secret JavaScriptEngine rules"):
+        assert find_secrets(text) == [], text
