@@ -15,10 +15,11 @@ from tastegraph.llm.words import mix, pieces, split_words
 
 #: Bounds of the training sample: labelled documents of each class, taken in the order of a digest of their id.
 TOXIC_ROWS, CLEAN_ROWS = 700, 2_100
-#: Hash rows of the embedding table, its width, lengths of character n-grams, words of a window.
-BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 16
-#: Training documents a hash row must be seen in to get a weight, and standard errors its share of toxic ones must be off.
-LEAST_DOCUMENTS, LEAST_Z = 3, 4.0
+#: Hash rows of the embedding table, its width, lengths of character n-grams, words of a window and from
+#: one window to the next.
+BUCKETS, WIDTH, GRAMS, WINDOW, STRIDE = 1 << 17, 8, (3, 4, 5), 16, 4
+#: Standard errors that a hash row's share of toxic training documents is off for its embedding to count by half.
+HALF_Z = 2.0
 #: Words a worker remembers before it starts afresh.
 REMEMBERED = 500_000
 #: Steps of training, their size, how strongly embeddings are drawn to 0.
@@ -63,15 +64,24 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def _windows(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each window among all words, and the document of each window; a document without words has one empty window."""
-    starts, owner, at = [], [], 0
-    for doc, n in enumerate(counts):
-        for s in range(0, max(n, 1), WINDOW):
-            starts.append(at + s)
-            owner.append(doc)
-        at += n
-    return np.array(starts, np.int64), np.array(owner, np.int64)
+def _windows(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each window among all words, and the document of each window.
+
+    Windows overlap; the last one of a document ends with it and is of full length. A document of fewer words than a window's, or
+    none, is one window.
+    """
+    n = np.asarray(counts, np.int64)
+    many = 1 + np.maximum(-(-(n - WINDOW) // STRIDE), 0)
+    owner = np.repeat(np.arange(len(n)), many)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    starts = (np.cumsum(n) - n)[owner] + np.minimum(step * STRIDE, np.maximum(n - WINDOW, 0)[owner])
+    return starts, starts + np.minimum(n, WINDOW)[owner], owner
+
+
+def _means(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Means of the values of each window; 0 of an empty one."""
+    summed = np.concatenate([[0.0], np.cumsum(values)])
+    return (summed[ends] - summed[starts]) / np.maximum(ends - starts, 1)
 
 
 def train(texts: list[str | None], toxic: list[int], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
@@ -91,45 +101,44 @@ def train(texts: list[str | None], toxic: list[int], steps: int = STEPS, rate: f
     bias = np.array([0, np.log(share / (1 - share))])
     ids: dict[bytes, int] = {}
     words = [np.array([ids.setdefault(x, len(ids)) for x in split_words(t)], np.int32) for t in texts]
-    flat, sizes, of_word = _bags(list(ids), words, y)
+    flat, sizes, of_word, trust = _bags(list(ids), words, y)
     stream = np.concatenate(words) if ids else np.zeros(0, np.int32)
-    starts, owner = _windows([len(x) for x in words])
-    window = np.searchsorted(starts, np.arange(len(stream)), side="right") - 1
-    filled = np.maximum(np.bincount(window, minlength=len(starts)), 1)
+    starts, ends, owner = _windows([len(x) for x in words])
+    filled = np.maximum(ends - starts, 1)
     first = np.searchsorted(owner, np.arange(len(words)))
     params = [e, w, bias]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
     for step in range(1, steps + 1):
         sharp = 1.0 + 7.0 * step / steps
-        bag = np.empty((len(starts), WIDTH))
-        for k in range(WIDTH):
-            vector = np.bincount(of_word, e[k][flat], len(sizes)) / sizes
-            bag[:, k] = np.bincount(window, vector[stream], len(starts)) / filled
-        logits = bag @ w + bias
-        margin = logits[:, 1] - logits[:, 0]
+        # a mean of embeddings has the mean of their margins
+        rows = (w[:, 1] - w[:, 0]) @ e * trust
+        vector = np.bincount(of_word, rows[flat], len(sizes)) / sizes
+        margin = _means(vector[stream], starts, ends) + bias[1] - bias[0]
         top = np.maximum.reduceat(margin, first)
         power = np.exp(sharp * (margin - top[owner]))
         total = np.add.reduceat(power, first)
         said = top + np.log(total / np.bincount(owner)) / sharp
         error = (1 / (1 + np.exp(-np.clip(said, -60, 60))) - y) / len(y)
         back = error[owner] * power / total[owner]  # of a window's margin
-        pull = (bag * back[:, None]).sum(0)
-        per_word = np.bincount(stream, (back / filled)[window], len(sizes)) / sizes
-        per_row = np.bincount(flat, per_word[of_word], BUCKETS)
+        share_of = back / filled
+        edges = np.bincount(starts, share_of, len(stream) + 1) - np.bincount(ends, share_of, len(stream) + 1)
+        per_word = np.bincount(stream, np.cumsum(edges)[: len(stream)], len(sizes)) / sizes
+        per_row = np.bincount(flat, per_word[of_word], BUCKETS) * trust
+        pull = e @ per_row
         slopes = [(w[:, 1] - w[:, 0])[:, None] * per_row[None, :] + DECAY * e, np.stack([-pull, pull], axis=1), np.array([-back.sum(), back.sum()])]
         for value, slope, (m, v) in zip(params, slopes, moments, strict=True):
             m += 0.1 * (slope - m)
             v += 0.05 * (slope**2 - v)
             value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-6)
     used = np.bincount(flat, minlength=BUCKETS) > 0
-    return Model((e * used).T, w, bias)
+    return Model((e * trust * used).T, w, bias)
 
 
-def _bags(names: list[bytes], words: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash rows of all words in one array, the bag size of each word, the word of each entry.
+def _bags(names: list[bytes], words: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash rows of all words in one array, the bag size of each word, the word of each entry, how far each row is trusted.
 
-    A row gets a weight if at least ``LEAST_DOCUMENTS`` training documents have it and their share of toxic ones is
-    ``LEAST_Z`` standard errors off the share of all; other rows keep their share of a word's mean, but no weight.
+    A row's embedding is scaled by its trust, from 0 to 1, so that drawing embeddings to 0 holds back most the rows
+    whose share of toxic documents is few standard errors z off the share of all: z² / (z² + ``HALF_Z``²). No row is left out.
     """
     parts = [bags(names[i : i + 20_000]) for i in range(0, len(names), 20_000)] or [bags([])]
     flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -143,8 +152,7 @@ def _bags(names: list[bytes], words: list[np.ndarray], y: np.ndarray) -> tuple[n
             seen[int(toxic), rows] += 1
     share, n = y.mean(), np.maximum(seen.sum(0), 1)
     z = np.abs(seen[1] / n - share) / np.sqrt(share * (1 - share) / n)
-    keep = ((n >= LEAST_DOCUMENTS) & (z >= LEAST_Z))[flat]
-    return flat[keep], np.maximum(sizes, 1), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[keep]
+    return flat, np.maximum(sizes, 1), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), z**2 / (z**2 + HALF_Z**2)
 
 
 class WordScores(dict):
@@ -184,10 +192,8 @@ def score_texts(texts: list[str | None], known: WordScores, offset: float) -> np
     known.learn(words)
     counts = [len(x) for x in words]
     values = np.fromiter((v for x in words for v in map(known.__getitem__, x)), np.float64, sum(counts))
-    starts, owner = _windows(counts)
-    summed = np.concatenate([[0.0], np.cumsum(values)])
-    ends = np.minimum(starts + WINDOW, np.cumsum(counts)[owner]) if len(starts) else starts
-    margin = (summed[ends] - summed[np.minimum(starts, ends)]) / np.maximum(ends - starts, 1) + offset
+    starts, ends, owner = _windows(counts)
+    margin = _means(values, starts, ends) + offset
     first = np.searchsorted(owner, np.arange(len(words)))
     return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(margin, first), -60, 60))) if len(words) else np.empty(0)
 

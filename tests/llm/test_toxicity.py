@@ -51,3 +51,24 @@ def test_query_and_stage(spark, docs):
     assert kept.columns == docs(*rows).columns
     assert kept.count() == sum(not r["predicted"] for r in out)
     assert score_documents(docs(), marks).count() == 0 and drop_toxic(docs(*rows[:3]), marks.limit(0)).count() == 3
+
+
+class Fixed(dict):
+    def learn(self, words):
+        self.update({w: 1.0 if w == b"bad" else -0.5 for x in words for w in x})
+
+
+def test_scores_do_not_depend_on_where_a_phrase_lies():
+    texts = [" ".join(["ok"] * at + ["bad"] * 8 + ["ok"] * (60 - at)) for at in range(8, 53)]
+    assert len(set(score_texts(texts, Fixed(), 0.0).round(9).tolist())) == 1
+    assert score_texts([" ".join(["ok"] * 16 + ["bad"])], Fixed(), 0.0)[0] < 0.5  # the last word is not judged alone
+
+
+def test_rare_toxic_words_have_weight():
+    texts, labels = corpus(400, 5)
+    toxic = [i for i, y in enumerate(labels) if y][:4]
+    for i in toxic:
+        texts[i] = " ".join("vulgrukh" if w in BAD else w for w in texts[i].split())
+    known = WordScores(train(texts, labels).rows())
+    known.learn([[b"vulgrukh", b"vulgrukhs"]])
+    assert known[b"vulgrukh"] > 1 and known[b"vulgrukhs"] > 1
