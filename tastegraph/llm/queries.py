@@ -71,6 +71,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tastegraph.llm.alignment import align_documents
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(_table(spark, sf_dir, "documents"), a, b)
+
+
 def tokenizer_path() -> str:
     """Where the public word-end BPE vocabulary lies on this machine and on the executors."""
     import public_tokenizers
@@ -79,7 +88,8 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op3_extract_main_text, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op3_extract_main_text, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates,
+                                     op11_align_tokenizers)}
 
 
 def oracle_sql() -> dict[str, str]:
