@@ -40,7 +40,7 @@ RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of one length as zstd; equal bytes of a column's numbers lie together."""
     head = np.array([len(columns[0]), *[c.dtype.itemsize for c in columns]], np.uint32).tobytes()
-    body = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    body = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=3).compress(head + body)
 
 
