@@ -80,6 +80,12 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(_table(spark, sf_dir, "documents"), a, b)
 
 
+def op12_near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.simhash import near_fingerprints
+
+    return near_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public word-end BPE vocabulary lies on this machine and on the executors."""
     import public_tokenizers
@@ -89,7 +95,7 @@ def tokenizer_path() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op3_extract_main_text, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates,
-                                     op11_align_tokenizers)}
+                                     op11_align_tokenizers, op12_near_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
