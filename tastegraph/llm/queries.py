@@ -86,6 +86,12 @@ def op12_near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op13_mine_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tastegraph.llm.negatives import hard_negatives
+
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     """Where the public word-end BPE vocabulary lies on this machine and on the executors."""
     import public_tokenizers
@@ -95,10 +101,11 @@ def tokenizer_path() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_drop_recurring_lines, op2_pack_sequences, op3_extract_main_text, op4_scan_secrets, op5_fingerprint_documents, op6_score_toxicity, op7_find_leaks, op8_shard_documents, op9_filter_urls, op10_near_duplicates,
-                                     op11_align_tokenizers, op12_near_fingerprints)}
+                                     op11_align_tokenizers, op12_near_fingerprints, op13_mine_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tastegraph.llm import line_dedup, sharding, url_filter
+    from tastegraph.llm import line_dedup, negatives, sharding, url_filter
 
-    return {"op1_drop_recurring_lines": line_dedup.SQL, "op8_shard_documents": sharding.SQL, "op9_filter_urls": url_filter.SQL}
+    return {"op1_drop_recurring_lines": line_dedup.SQL, "op8_shard_documents": sharding.SQL, "op9_filter_urls": url_filter.SQL,
+            "op13_mine_hard_negatives": negatives.SQL}
