@@ -2,15 +2,9 @@
 
 Every shared key adds ``ln(corpus / frequency)`` times a coefficient. Each title keeps its strongest
 partners on either side of it in id order, so the result is at most two dozen rows per title, while a
-key held by a third of all titles would pair them quadratically. The keys are therefore split:
-
-* a *rare* key pairs its titles outright, which is at most ``rare`` partners per row;
-* for *common* keys no pairs are formed up front. Partners that share only common keys score the same
-  whenever they share the same keys with the same values, so among them only the first k by id can be
-  kept. Titles are listed under every subset of their common keys, and each title looks up the k
-  next (and the k first) entries of the lists it belongs to.
-
-Both ways give candidates, which are then scored in full; nothing is dropped.
+key held by a third of all titles would pair them quadratically. No key's titles are paired: a rank join
+(``plans/rankjoin.py``) finds each title's strongest partners under score bounds, and only these pairs are then
+scored signal by signal.
 """
 
 from __future__ import annotations
@@ -23,7 +17,7 @@ from pyspark.sql import functions as F
 from tastegraph.functions.scalars import squash
 from tastegraph.operators.views import top_rows
 from tastegraph.plans.lineage import checkpoint
-from tastegraph.plans.slices import with_running_count
+from tastegraph.plans.rankjoin import strongest_partners
 from tastegraph.tables import Tables
 
 # Weights of the shared signals and how many partners a title keeps.
@@ -38,9 +32,6 @@ PER_TITLE = 12
 METHOD = "shared_signal_idf_v1"
 
 SIGNALS = ("crew", "theme", "cast", "franchise")
-# A key held by more titles than this is common; a title may hold this many common keys.
-RARE = 1000
-COMMON_PER_TITLE = 6
 
 
 def _title_credits(t: Tables, predicates: list[str]) -> DataFrame:
@@ -84,11 +75,10 @@ def signal_features(t: Tables, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
             "title_id", F.col("person_id").alias("key_id"), F.col("predicate").alias("role")).agg(held)
         frames.append(crew.select("title_id", F.lit("crew").alias("signal"), "role", "key_id", crew_weight.alias("c"), "value"))
     if "theme" in signals:
-        theme = _theme_edges(t).select(
-            F.col("subject_id").alias("title_id"), F.lit("theme").alias("signal"), F.lit("theme").alias("role"),
-            F.col("object_id").alias("key_id"), F.lit(THEME_WEIGHT).alias("c"),
-            F.coalesce(F.col("salience").cast("double"), F.lit(THEME_DEFAULT_SALIENCE)).alias("value"))
-        frames.append(theme)
+        salience = F.coalesce(F.col("salience").cast("double"), F.lit(THEME_DEFAULT_SALIENCE))
+        theme = _theme_edges(t).groupBy(F.col("subject_id").alias("title_id"), F.col("object_id").alias("key_id")).agg(F.min(salience).alias("value"))
+        frames.append(theme.select("title_id", F.lit("theme").alias("signal"), F.lit("theme").alias("role"), "key_id",
+                                   F.lit(THEME_WEIGHT).alias("c"), "value"))
     if "cast" in signals:
         cast = _leads(t).groupBy("title_id", F.col("person_id").alias("key_id")).agg(held)
         frames.append(cast.select("title_id", F.lit("cast").alias("signal"), F.lit("cast").alias("role"), "key_id",
@@ -124,116 +114,36 @@ def _parts(signal: Column, role: Column, weight: Column, x: Column, y: Column) -
     ]
 
 
-def _rare_pairs(features: DataFrame) -> DataFrame:
-    """Pairs x < y on keys few titles hold, one row per shared key."""
-    left = features.select("key", "signal", "role", "weight", F.col("title_id").alias("x"), F.col("value").alias("vx"))
-    right = features.select("key", F.col("title_id").alias("y"), F.col("value").alias("vy"))
-    met = left.join(right, "key").filter(F.col("y") > F.col("x"))
-    return met.select("x", "y", *_parts(F.col("signal"), F.col("role"), F.col("weight"), F.col("vx"), F.col("vy")))
-
-
-def _common_sets(common: DataFrame) -> DataFrame:
-    """The common keys of each title as one sorted array; it holds at most ``COMMON_PER_TITLE``."""
-    return common.groupBy("title_id").agg(
-        F.array_sort(F.collect_list(F.struct("key", "signal", "role", "weight", "value"))).alias("held"))
+def _held(features: DataFrame) -> DataFrame:
+    """The keys of each title as one array."""
+    return features.groupBy("title_id").agg(F.collect_list(F.struct("key", "signal", "role", "weight", "value")).alias("held"))
 
 
-def _subsets(sets: DataFrame) -> DataFrame:
-    """Every subset of a title's common keys that makes a signal, as (title_id, keys, values)."""
-    numbers = F.expr("sequence(1, shiftleft(1, size(held)) - 1)")
-    picked = F.filter("held", lambda h, i: F.getbit(F.col("pick"), i) == 1)
-    subset = sets.select("title_id", "held", F.explode(numbers).alias("pick")).select("title_id", picked.alias("s"))
-    themes = F.size(F.filter("s", lambda h: h["signal"] == "theme"))
-    counts = (themes >= THEMES_SHARED) | (themes < F.size("s"))
-    return subset.filter(counts).select(
-        "title_id",
-        F.array_join(F.transform("s", lambda h: h["key"]), "|").alias("keys"),
-        F.array_join(F.transform("s", lambda h: h["value"].cast("string")), "|").alias("values"))
-
-
-def _common_candidates(sets: DataFrame, k: int) -> DataFrame:
-    """Pairs x < y worth scoring among titles that share common keys.
-
-    A list holds the titles with the same values of the same keys in id order. A title needs the k
-    entries after it, as y is nearest first, and the first k of all, as x is smallest first.
-    """
-    members = _subsets(sets)
-    lists = members.select("keys", "values").distinct()
-    low = sets.agg(F.min("title_id")).scalar()
-    width = sets.agg(F.greatest(F.ceil((F.max("title_id") - F.min("title_id") + 1) / 1000), F.lit(1))).scalar()
-    slice_by = F.floor((F.col("title_id") - low) / width)
-    probes = members.select("title_id", "keys").join(lists, "keys")
-    both = members.select("title_id", "keys", "values", F.lit(0).alias("probe")).unionByName(
-        probes.select("title_id", "keys", "values", F.lit(1).alias("probe")))
-    placed = with_running_count(both, ["keys", "values"], slice_by, [F.col("title_id"), F.col("probe")],
-                                F.col("probe") == 0, "place")
-    entries = placed.filter("probe = 0").select("keys", "values", "place", F.col("title_id").alias("other"))
-    probe = placed.filter("probe = 1").select("keys", "values", "place", "title_id")
-    after = F.sequence(F.col("place") + 1, F.col("place") + k)
-    up = probe.select("keys", "values", "title_id", F.explode(after).alias("place")).join(
-        entries, ["keys", "values", "place"]).select(F.col("title_id").alias("x"), F.col("other").alias("y"))
-    down = probe.select("keys", "values", "title_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("place")).join(
-        entries.filter(F.col("place") <= k), ["keys", "values", "place"]).filter(F.col("other") < F.col("title_id")).select(
-        F.col("other").alias("x"), F.col("title_id").alias("y"))
-    return up.unionByName(down).distinct()
-
-
-def _add_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add what the common keys of both titles contribute to each pair."""
-    mine = sets.select(F.col("title_id").alias("x"), F.col("held").alias("hx"))
-    theirs = sets.select(F.col("title_id").alias("y"), F.col("held").alias("hy"))
-    p = pairs.join(mine, "x", "left").join(theirs, "y", "left")
-
-    def with_match(h: Column) -> Column:
-        other = F.get(F.filter("hy", lambda o: o["key"] == h["key"]), F.lit(0))["value"]
-        return F.struct(*_parts(h["signal"], h["role"], h["weight"], h["value"], other))
-
-    matched = F.transform(F.filter("hx", lambda h: F.exists("hy", lambda o: o["key"] == h["key"])), with_match)
-    p = p.withColumn("m", matched)
+def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Totals of what the titles of each pair (x, y) share."""
+    mine = held.select(F.col("title_id").alias("x"), F.col("held").alias("hx"))
+    theirs = held.select(F.col("title_id").alias("y"), F.map_from_entries(F.transform("held", lambda h: F.struct(h["key"], h["value"]))).alias("vy"))
+    both = F.filter("hx", lambda h: F.map_contains_key("vy", h["key"]))
+    met = pairs.join(mine, "x").join(theirs, "y").select("x", "y", F.transform(
+        both, lambda h: F.struct(*_parts(h["signal"], h["role"], h["weight"], h["value"], F.col("vy")[h["key"]]))).alias("m"))
 
     def total(name: str) -> Column:
-        return F.coalesce(F.aggregate("m", F.lit(0.0), lambda acc, e: acc + e[name]), F.lit(0.0))
+        return F.aggregate("m", F.lit(0.0), lambda acc, e: acc + e[name])
 
-    return p.select("x", "y", *[(F.col(n) + total(n)).alias(n) for n in _PARTS])
+    return met.select("x", "y", *[total(n).alias(n) for n in _PARTS])
 
 
-def split_point(features: DataFrame, rare: int, common_per_title: int) -> tuple[int, bool]:
-    """Frequency above which a key is common, and whether any key is.
+def scored_pairs(t: Tables, signals: tuple[str, ...] = SIGNALS, k: int = PER_TITLE) -> DataFrame:
+    """Pairs (x, y, score, reason) that hold every title's k strongest partners on each side.
 
-    Raised above ``rare`` where needed so that no title holds more than ``common_per_title`` common
-    keys, which keeps the subsets few. One row comes back to the driver.
+    A key of a title is scored as often as the title holds it; keys are told apart by 64-bit hashes while partners are looked for,
+    by their names when the pairs are scored.
     """
-    counts = features.groupBy("key").agg(F.count("*").alias("n"))
-    largest = counts.agg(F.max("n").alias("n")).first()
-    if largest is None or (largest.n or 0) <= rare:
-        return rare, False
-    often = counts.filter(F.col("n") > rare)
-    per_title = features.select("key", "title_id").join(often, "key")
-    over = top_rows(per_title, ["title_id"], [F.col("n").desc(), F.col("key")], common_per_title + 1).filter(
-        F.col("rn") == common_per_title + 1).agg(F.max("n").alias("n")).first()
-    point = max(rare, over.n or 0)
-    return point, largest.n > point
-
-
-def scored_pairs(t: Tables, signals: tuple[str, ...] = SIGNALS, k: int = PER_TITLE, rare: int = RARE,
-                 common_per_title: int = COMMON_PER_TITLE) -> DataFrame:
-    """Pairs (x, y, score, reason) that hold every title's k strongest partners on each side."""
-    features = signal_features(t, signals)
-    point, any_common = split_point(features, rare, common_per_title)
-    if any_common:
-        # read several times below: written once, so neither a lost executor nor a reader repeats the joins
-        features = checkpoint(features)
-        counts = features.groupBy("key").agg(F.count("*").alias("key_n"))
-        counted = features.join(counts, "key")
-        few, many = counted.filter(F.col("key_n") <= point), counted.filter(F.col("key_n") > point)
-        sets = checkpoint(_common_sets(many))
-        zero = [F.lit(0.0).alias(n) for n in _PARTS]
-        rows = _rare_pairs(few).unionByName(_common_candidates(sets, k).select("x", "y", *zero))
-    else:
-        rows = _rare_pairs(features)
-    pairs = rows.groupBy("x", "y").agg(*[F.sum(n).alias(n) for n in _PARTS])
-    if any_common:
-        pairs = _add_common(pairs, sets)
+    held = checkpoint(_held(signal_features(t, signals)))
+    looked_up = F.transform("held", lambda h: F.struct(
+        F.xxhash64(h["key"]).alias("key"), (h["signal"] == "theme").alias("pooled"), h["weight"].alias("weight"), h["value"].alias("value")))
+    found = strongest_partners(checkpoint(held.select(F.col("title_id").alias("id"), looked_up.alias("held"))), k)
+    pairs = _compared(found.select(F.least("id", "partner").alias("x"), F.greatest("id", "partner").alias("y")).distinct(), held)
     crew = F.when(F.col("crew_n") > 0, F.col("crew"))
     theme = F.when(F.col("theme_n") >= THEMES_SHARED, F.col("theme"))
     cast = F.when(F.col("cast_n") > 0, F.col("cast"))
@@ -259,10 +169,9 @@ def rank_both_ends(combined: DataFrame, k: int = PER_TITLE) -> DataFrame:
     return kept.select("x", "y", "score", "reason").distinct()
 
 
-def strongest_pairs(t: Tables, signals: tuple[str, ...] = SIGNALS, k: int = PER_TITLE, rare: int = RARE,
-                    common_per_title: int = COMMON_PER_TITLE) -> DataFrame:
+def strongest_pairs(t: Tables, signals: tuple[str, ...] = SIGNALS, k: int = PER_TITLE) -> DataFrame:
     """Each title's k strongest partners on either side over the given signals."""
-    return rank_both_ends(scored_pairs(t, signals, k, rare, common_per_title), k)
+    return rank_both_ends(scored_pairs(t, signals, k), k)
 
 
 def crew_pairs(t: Tables, k: int = PER_TITLE) -> DataFrame:

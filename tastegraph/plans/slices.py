@@ -69,23 +69,6 @@ def with_rank(df: DataFrame, keys: list[str], slice_by: Column, order: list[Colu
     )
 
 
-def with_running_count(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], counted: Column, name: str) -> DataFrame:
-    """Add ``name``: how many rows up to and including this one satisfy ``counted``."""
-    d = df.withColumns({"__slice": slice_by, "__order": _packed(order), "__one": counted.cast("bigint")})
-    inside = Window.partitionBy(*keys, "__slice").orderBy("__order").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        d.groupBy(*keys, "__slice").agg(F.sum("__one").alias("__n"))
-        .select(*keys, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    )
-    return (
-        d.withColumn("__rn", F.sum("__one").over(inside))
-        .join(offsets, [*keys, "__slice"])
-        .withColumn(name, F.col("__rn") + F.col("__offset"))
-        .drop("__slice", "__order", "__one", "__rn", "__offset")
-    )
-
-
 def with_last_seen(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], value: Column, name: str) -> DataFrame:
     """Add ``name``: the latest non-NULL ``value`` of the group up to and including this row."""
     d = df.withColumns({"__slice": slice_by, "__value": value, "__order": _packed(order)})
