@@ -225,12 +225,16 @@ def snapshot_shares(shares: DataFrame, ratings: DataFrame, notes: DataFrame | No
     return out.join(n.select("slug", "note_snapshot"), "slug", "left")
 
 
-def count_views(views: DataFrame, shares: DataFrame) -> DataFrame:
-    """Views of live shares by people; also runs on a stream of views."""
+def live_views(views: DataFrame, shares: DataFrame) -> DataFrame:
+    """Views of live shares by people, one row each; also runs on a stream of views."""
     live = shares.select("slug", "revoked_at")
-    seen = views.filter(~is_bot(F.col("user_agent"))).join(live, "slug").filter(
+    return views.filter(~is_bot(F.col("user_agent"))).join(live, "slug").filter(
         F.col("revoked_at").isNull() | (F.col("ts") < F.col("revoked_at")))
-    return seen.groupBy("slug").agg(F.count("*").alias("view_count"))
+
+
+def count_views(views: DataFrame, shares: DataFrame) -> DataFrame:
+    """How often people viewed each live share."""
+    return live_views(views, shares).groupBy("slug").agg(F.count("*").alias("view_count"))
 
 
 def erase_accounts(t: Tables, account_ids: DataFrame) -> tuple[Tables, DataFrame]:
