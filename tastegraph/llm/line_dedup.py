@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.spread import join_counted
 from tastegraph.llm.storage import written
 from tastegraph.plans.lineage import checkpoint
 
 #: Leading tokens of the tree, documents in which a template recurs, most variable fields in a hundred tokens beside
 #: numbers, least literal tokens in a hundred.
 DEPTH, DOCUMENTS, FREE, LITERAL = 3, 3, 20, 50
+#: Tokens from which on a line is long; a template of long lines recurs in two documents already.
+LONG, TWO = 20, 2
 FIELD = "<*>"
 
 
@@ -35,13 +38,20 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _lines(documents: DataFrame, depth: int) -> DataFrame:
-    """(d, t, line_no, line, masked, size, leaf) of every line with a token; d and t name the document."""
+    """(d, t, line_no, line, tokens, size, leaf) of every line with a token; d and t name the document.
+
+    Masking a token leaves one token, so the leaf needs the leading tokens masked alone.
+    """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("doc_id", "text").alias("t")]
     rows = documents.select(*key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = _once(_once(rows, "tokens", spaced(F.col("line"))), "masked", masked(F.col("tokens"))).where("masked <> ''")
-    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumn("size", size)
-    return _once(rows, "leaf", F.xxhash64("size", F.substring_index("masked", " ", depth))).drop("tokens")
+    rows = _once(rows, "tokens", spaced(F.col("line"))).where("tokens <> ''")
+    rows = rows.withColumn("size", F.length("tokens") - F.length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1)
+    return _once(rows, "leaf", F.xxhash64("size", masked(F.substring_index("tokens", " ", depth))))
+
+
+def _least(size: Column, least: int) -> Column:
+    """Documents in which a template of a size recurs."""
+    return F.when(size >= LONG, min(TWO, least)).otherwise(least)
 
 
 def _word(leaf: Column) -> Column:
@@ -56,16 +66,19 @@ def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUM
     """(d, t, line_no) of the lines whose template recurs, but for the first line of each template.
 
     The tree sorts lines by their number of tokens and then by their leading ``depth`` tokens; only leaves with
-    ``least`` lines or more are looked into. There a token that fewer than ``least`` lines have at its place is a variable field
+    ``least`` lines or more, of long lines two, are looked into. There a token that fewer than ``least`` lines have at its place is a variable field
     too, as long as no more than ``free`` in a hundred tokens are; else the line's own tokens are its template. A line
     less than ``literal`` in a hundred of whose tokens are literal is no template of others and meets its exact repeats only. A
-    template recurs if it has lines in ``least`` documents; the line of the smallest (doc_id, place) is the one that stays.
+    template recurs if it has lines in ``least`` documents, one of ``LONG`` tokens or more in two; the line of the smallest (doc_id, place) is
+    the one that stays.
 
     Lines travel as hashes. The words of a line are looked at only in busy leaves, which a filter of fixed size tells at the
     scan, before an exact join; equal lines are counted first, so a line that a third of all documents share is one row a task.
     """
-    hashed = written(_lines(documents, depth).select("d", "t", "line_no", "leaf", F.xxhash64("masked").alias("v"), F.xxhash64("line").alias("own")))
-    busy = checkpoint(hashed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"))
+    hashed = written(_lines(documents, depth).select(
+        "d", "t", "line_no", "leaf", "size", F.xxhash64(masked(F.col("tokens"))).alias("v"), F.xxhash64("line").alias("own")))
+    busy = checkpoint(hashed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(
+        F.col("n") >= _least(F.col("size"), least)).select("leaf"))
     bits = F.broadcast(busy.groupBy(_word(F.col("leaf")).alias("word")).agg(  # at most FILTER_WORDS rows
         F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(leaf, 20), 64) as int))")).alias("bits")))
 
@@ -74,7 +87,8 @@ def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUM
 
     found = checkpoint(likely(hashed).join(busy, "leaf"))
     counts = found.groupBy("leaf", "v").agg(F.count("*").alias("n"))
-    texts = likely(_lines(documents, depth)).select("leaf", F.xxhash64("masked").alias("v"), "masked", "size").dropDuplicates(["leaf", "v"])
+    texts = _once(likely(_lines(documents, depth)).select("leaf", "tokens", "size"), "masked", masked(F.col("tokens"))).select(
+        "leaf", F.xxhash64("masked").alias("v"), "masked", "size").dropDuplicates(["leaf", "v"])
     variants = checkpoint(texts.join(counts, ["leaf", "v"]))
     tokens = variants.select("leaf", "v", "n", "size", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(
@@ -90,16 +104,19 @@ def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUM
     # how many literal tokens the template keeps
     fields = leading + F.coalesce(F.when(plain, F.col("fields") - F.col("rare")).otherwise(F.col("fields")), F.lit(0))
     templates = variants.join(judged, ["leaf", "v"], "left").select(
-        "leaf", "v", F.struct(plain.alias("plain"), rest.alias("rest")).alias("template"),
+        "leaf", "v", "n", F.struct(plain.alias("plain"), rest.alias("rest")).alias("template"),
         ((F.col("size") - fields) * 100 >= F.col("size") * literal).alias("general"))
     own = F.struct(F.lit(True).alias("plain"), F.col("own").alias("rest"))
-    sorted_ = found.select("d", "t", "line_no", "leaf", "v", "own").join(templates, ["leaf", "v"]).select(
-        "d", "t", "line_no", "leaf", "general", F.when(F.col("general"), F.col("template")).otherwise(own).alias("template"))
+    # a line or a template that stands in a large share of all lines meets its rows where they lie
+    sorted_ = checkpoint(join_counted(found.select("d", "t", "line_no", "leaf", "v", "own", "size"), templates, ["leaf", "v"], "n").select(
+        "d", "t", "line_no", "leaf", "size", "general", F.when(F.col("general"), F.col("template")).otherwise(own).alias("template")))
     name = ["leaf", "general", "template"]
-    in_documents = sorted_.groupBy(*name, "d", "t").agg(F.min("line_no").alias("line_no"))
+    in_documents = sorted_.groupBy(*name, "d", "t").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"), F.max("size").alias("size"))
     recurring = in_documents.groupBy(*name).agg(
-        F.count("*").alias("documents"), F.min(F.struct("d", "t", "line_no")).alias("first")).where(F.col("documents") >= least)
-    return sorted_.join(recurring.drop("documents"), name).where(F.struct("d", "t", "line_no") != F.col("first")).select("d", "t", "line_no")
+        F.count("*").alias("documents"), F.min(F.struct("d", "t", "line_no")).alias("first"), F.sum("n").alias("n"), F.max("size").alias("of")).where(
+        F.col("documents") >= _least(F.col("of"), least))
+    met = join_counted(sorted_.drop("size"), recurring.drop("documents", "of"), name, "n")
+    return met.where(F.struct("d", "t", "line_no") != F.col("first")).select("d", "t", "line_no")
 
 
 def drop_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUMENTS, free: int = FREE, literal: int = LITERAL) -> DataFrame:
@@ -131,25 +148,25 @@ WITH lines AS (
 tokens AS (
   SELECT doc_id, line_no, line, list_transform(string_split(spaced, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
   FROM lines WHERE spaced <> ''),
-leaves AS (SELECT *, len(w) AS size, w[1:3] AS head, count(*) OVER (PARTITION BY len(w), w[1:3]) AS in_leaf FROM tokens),
-spread AS (SELECT doc_id, line_no, size, head, k, w[k] AS token FROM leaves, unnest(range(4, size + 1)) AS u(k) WHERE in_leaf >= 3),
+leaves AS (SELECT *, len(w) AS size, w[1:3] AS head, count(*) OVER (PARTITION BY len(w), w[1:3]) AS in_leaf, CASE WHEN len(w) >= 20 THEN 2 ELSE 3 END AS least FROM tokens),
+spread AS (SELECT doc_id, line_no, size, head, k, w[k] AS token FROM leaves, unnest(range(4, size + 1)) AS u(k) WHERE in_leaf >= least),
 counted AS (SELECT *, count(*) OVER (PARTITION BY size, head, k, token) >= 3 AS common FROM spread),
 judged AS (
   SELECT doc_id, line_no, count(*) FILTER (NOT common) AS rare,
          list(CASE WHEN common THEN token ELSE '<*>' END ORDER BY k) AS rest
   FROM counted GROUP BY doc_id, line_no),
 shaped AS (
-  SELECT l.doc_id, l.line_no, l.line, l.size,
+  SELECT l.doc_id, l.line_no, l.line, l.size, l.least,
          CASE WHEN j.rare > 0 AND j.rare * 100 <= l.size * 20 THEN list_concat(l.head, j.rest) ELSE l.w END AS template,
          coalesce(j.rare > 0 AND j.rare * 100 <= l.size * 20, FALSE) AS opened
-  FROM leaves AS l LEFT JOIN judged AS j USING (doc_id, line_no) WHERE l.in_leaf >= 3),
+  FROM leaves AS l LEFT JOIN judged AS j USING (doc_id, line_no) WHERE l.in_leaf >= l.least),
 named AS (
-  SELECT doc_id, line_no,
+  SELECT doc_id, line_no, least,
          CASE WHEN len(list_filter(template, lambda x: x <> '<*>')) * 100 >= size * 50 THEN concat('t', opened, array_to_string(template, ' '))
               ELSE concat('l', line) END AS name
   FROM shaped),
 recurring AS (
-  SELECT name, min((doc_id, line_no)) AS first FROM named GROUP BY name HAVING count(DISTINCT doc_id) >= 3),
+  SELECT name, min((doc_id, line_no)) AS first FROM named GROUP BY name HAVING count(DISTINCT doc_id) >= max(least)),
 dropped AS (SELECT doc_id, list(line_no) AS gone FROM named JOIN recurring USING (name) WHERE (doc_id, line_no) <> first GROUP BY doc_id)
 SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
        CASE WHEN gone IS NULL THEN text

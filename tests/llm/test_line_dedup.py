@@ -30,6 +30,13 @@ def test_two_documents_and_repeats_inside_one_do_not_count(docs):
     assert found == {(1, "same line here\nsame line here\nsame line here"), (2, "same line here")}
 
 
+def test_a_long_line_recurs_in_two_documents(docs):
+    long, other = (" ".join(f"{w}{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26)) for w in ("some", "what"))
+    rows = [(1, f"{long}\nown one"), (2, f"two\n{long}"), (3, f"{other}\n{other}"), (4, " ".join(long.split()[:19])), (5, " ".join(long.split()[:19]))]
+    found = texts(drop_lines(docs(*rows)))
+    assert found == {(1, rows[0][1]), (2, "two"), (3, rows[2][1]), (4, rows[3][1]), (5, rows[4][1])}
+
+
 def test_odd_rows(spark, docs):
     rows = docs((1, None), (2, ""), (3, "\n\n \n"), (None, "a b c"), (5, "a b c"), (6, "a b c"), (6, "a b c"), (7, "word " * 50_000))
     out = drop_lines(rows)
@@ -44,6 +51,8 @@ def test_odd_rows(spark, docs):
 def test_sql_agrees(docs):
     rows = [(i, "\n".join(f"line {j} of {['red', 'blue', 'green'][(i + j) % 3]} things is here in part {i % 2}" for j in range(6)) + f"\n{i} own") for i in range(9)]
     rows += [(20, None), (21, ""), (22, "a\x0bb c\t d\r")]
+    long = " ".join(f"long line with {'abcdefghijklmnopqrstuvwxyz'[i]} in it" for i in range(9))
+    rows += [(30, f"{long}\n{long} 7"), (31, f"x\n{long} 8"), (32, f"{long}\n{long}"), (33, "only a " + long), (34, "only a " + long), (35, "only a once " + long)]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
