@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass
 
 #: Elements whose text belongs to the line around them; all others are borders of blocks. Fixed values.
@@ -27,14 +29,59 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
-    """A block's text, white space made single, the elements around it from the outside, and how much of it is links."""
+    """A block's text, white space made single; its own element; names of the elements around it and of their classes; how much of it is links."""
 
     text: str
-    path: list[tuple[str, tuple[str, ...]]]
+    own: str
+    around: tuple[str, ...]
     linked: float
     marked: bool
 
 
+class _Open:
+    """The open elements, and how many of them bear each name, so that a block costs what changed since the one before."""
+
+    def __init__(self, known: Container[str] | None) -> None:
+        self.known = known
+        self.stack: list[tuple[str, tuple[str, ...], bool]] = []
+        self.borders: list[str] = []
+        self.tags: Counter[str] = Counter()
+        self.names: dict[str, int] = {}
+        self.marked = 0
+        self.told: tuple[str, ...] | None = ()
+
+    def push(self, tag: str, words: tuple[str, ...], marked: bool) -> None:
+        names: tuple[str, ...] = ()
+        if tag not in INLINE:
+            self.borders.append(tag)
+            names = tuple(n for n in (f"in:{tag}", *[f"class:{w}" for w in words]) if self.known is None or n in self.known)
+            for n in names:
+                self.names[n] = self.names.get(n, 0) + 1
+                if self.names[n] == 1:
+                    self.told = None
+        self.stack.append((tag, names, marked))
+        self.tags[tag] += 1
+        self.marked += marked
+
+    def pop(self) -> str:
+        tag, names, marked = self.stack.pop()
+        for n in names:
+            self.names[n] -= 1
+            if not self.names[n]:
+                del self.names[n]
+                self.told = None
+        if tag not in INLINE:
+            self.borders.pop()
+        self.tags[tag] -= 1
+        self.marked -= marked
+        return tag
+
+    def around(self) -> tuple[str, ...]:
+        if self.told is None:
+            self.told = tuple(sorted(self.names))
+        return self.told
+
+
 def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
     """Lower-case words of class, id and role, ``hidden`` for what is not shown; whether the element is marked as main text."""
     words: list[str] = []
@@ -50,10 +97,14 @@ def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
     return tuple(dict.fromkeys(words)), marked
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order; a page cut off anywhere gives what came before."""
+def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The page's leaf blocks in order; a page cut off anywhere gives what came before.
+
+    With ``known``, only names in it are told of the elements around a block. Memory and time then grow with the page alone, however deep
+    its elements nest.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    open_ = _Open(known)
     parts: list[str] = []
     in_link = 0
 
@@ -62,7 +113,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, [(t, n) for t, n, _ in stack if t not in INLINE], min(1.0, in_link / len(text)), any(m for _, _, m in stack)))
+                found.append(Block(text, open_.borders[-1] if open_.borders else "none", open_.around(), min(1.0, in_link / len(text)), open_.marked > 0))
             parts.clear()
         in_link = 0
 
@@ -70,7 +121,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal in_link
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if any(t == "a" for t, _, _ in stack):
+        if open_.tags["a"]:
             in_link += len(text.strip())
 
     page = page or ""
@@ -89,8 +140,8 @@ def blocks(page: str | None) -> list[Block]:
         if m["end"]:
             if tag not in INLINE:
                 flush()
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
+            if open_.tags[tag]:
+                while open_.pop() != tag:
                     pass
             continue
         if tag in RAW:
@@ -106,15 +157,24 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
             closes = ENDS.get(tag, frozenset())
-            for i in range(len(stack) - 1, -1, -1):
-                open_ = stack[i][0]
-                if open_ == "p" or open_ in closes:
-                    del stack[i:]
-                    if open_ == "p" and not closes:
-                        break
-                elif open_ in SCOPE:
-                    break
+            if open_.tags["p"] or any(open_.tags[c] for c in closes):
+                _close(open_, closes)
         names, marked = _names(m["attrs"]) if m["attrs"].strip() else ((), False)
-        stack.append((tag, names, marked))
+        open_.push(tag, names, marked)
     flush()
     return found
+
+
+def _close(open_: _Open, closes: Container[str]) -> None:
+    """End what a start tag ends: an open paragraph, or the nearest of ``closes`` and a paragraph inside it."""
+    upto = None
+    for i in range(len(open_.stack) - 1, -1, -1):
+        tag = open_.stack[i][0]
+        if tag == "p" or tag in closes:
+            upto = i
+            if tag == "p" and not closes:
+                break
+        elif tag in SCOPE:
+            break
+    while upto is not None and len(open_.stack) > upto:
+        open_.pop()

@@ -26,9 +26,8 @@ def features(found: list[Block]) -> list[list[str]]:
     out = []
     for b in found:
         n = len(_WORD.findall(b.text))
-        own = b.path[-1][0] if b.path else "none"
-        names = {"bias", f"own:{own}", f"words:{min(n, 3) if n < 4 else 10 if n < 10 else 25 if n < 25 else 99}"}
-        names |= {f"in:{t}" for t, _ in b.path} | {f"class:{c}" for _, cs in b.path for c in cs}
+        names = {"bias", f"own:{b.own}", f"words:{min(n, 3) if n < 4 else 10 if n < 10 else 25 if n < 25 else 99}"}
+        names.update(b.around)
         names.add("links:none" if b.linked == 0 else "links:some" if b.linked < 0.6 else "links:most")
         if b.text[-1:] in ".!?":
             names.add("ends")
@@ -65,6 +64,27 @@ class Field:
         return labels[::-1]
 
 
+def expectations(node: np.ndarray, s: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By forward-backward over (page, place): each place's chance of main text, and how often each step between labels is expected in all.
+
+    ``node`` holds the scores of both labels at every place, ``real`` is 0 beyond a page's end.
+    """
+    forth, back = np.zeros_like(node), np.zeros_like(node)
+    both = real[:, 1:] * real[:, :-1]
+    longest = node.shape[1]
+    forth[:, 0] = node[:, 0]
+    for t in range(1, longest):
+        grown = np.logaddexp.reduce(forth[:, t - 1, :, None] + s[None], axis=1) + node[:, t]
+        forth[:, t] = np.where(real[:, t, None] > 0, grown, forth[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        grown = np.logaddexp.reduce(s[None] + (node[:, t + 1] + back[:, t + 1])[:, None, :], axis=2)
+        back[:, t] = np.where(real[:, t + 1, None] > 0, grown, 0)
+    total = np.logaddexp.reduce(forth[:, -1], axis=1)
+    main = np.exp(forth[:, :, 1] + back[:, :, 1] - total[:, None]) * real
+    pair = forth[:, :-1, :, None] + s[None, None] + (node + back)[:, 1:, None, :] - total[:, None, None, None]
+    return main, (np.exp(np.minimum(pair, 0)) * both[:, :, None, None]).sum(axis=(0, 1))
+
+
 def train(pages: list[str], steps: int = STEPS, rate: float = RATE) -> Field:
     """Fit the field by gradient steps on the likelihood of marked pages' label sequences, all pages side by side."""
     parsed = [p for p in map(blocks, pages) if p]
@@ -85,18 +105,7 @@ def train(pages: list[str], steps: int = STEPS, rate: float = RATE) -> Field:
     held = np.stack([[((y[:, :-1] == i) & (y[:, 1:] == j)) * both for j in (0, 1)] for i in (0, 1)]).sum(axis=(2, 3))
     for step in range(1, steps + 1):
         node = np.stack([np.zeros_like(real), x @ w], axis=2) * real[:, :, None]
-        forth, back = np.zeros_like(node), np.zeros_like(node)
-        forth[:, 0] = node[:, 0]
-        for t in range(1, longest):
-            grown = np.logaddexp.reduce(forth[:, t - 1, :, None] + s[None], axis=1) + node[:, t]
-            forth[:, t] = np.where(real[:, t, None] > 0, grown, forth[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            grown = np.logaddexp.reduce(s[None] + (node[:, t + 1] + back[:, t + 1])[:, None, :], axis=2)
-            back[:, t] = np.where(real[:, t + 1, None] > 0, grown, 0)
-        total = np.logaddexp.reduce(forth[:, -1], axis=1)
-        main = np.exp(forth[:, :, 1] + back[:, :, 1] - total[:, None]) * real
-        pair = forth[:, :-1, :, None] + s[None, None] + (node + back)[:, 1:, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(pair, 0)) * both[:, :, None, None]).sum(axis=(0, 1))
+        main, expected = expectations(node, s, real)
         slopes = (np.einsum("pt,ptf->f", main - y * real, x) / len(parsed) + DECAY * w, (expected - held) / len(parsed) + DECAY * s)
         for i, (value, slope) in enumerate(zip((w, s), slopes, strict=True)):
             m, v = moments[2 * i], moments[2 * i + 1]
@@ -108,7 +117,7 @@ def train(pages: list[str], steps: int = STEPS, rate: float = RATE) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     """Main blocks of a page, one a line; empty if there are none."""
-    found = blocks(page)
+    found = blocks(page, field.weights)
     return "\n".join(b.text for b, label in zip(found, field.decode(found), strict=True) if label)
 
 
@@ -116,8 +125,9 @@ def extract_pages(pages: DataFrame, training: list[str] | None = None) -> DataFr
     """page_id, url, text and n_chars (code points) of every page's main text, from its whole html.
 
     The field is trained on labelled pages, those of ``labelled_pages`` if none are given, before the job; its few hundred weights
-    go with the tasks. NULL or empty html gives empty text, html cut off anywhere what came before. Repeated rows
-    give repeated results. No row meets another, so nothing is shuffled.
+    go with the tasks. NULL or empty html gives empty text, html cut off anywhere what came before. Pages of any length and depth are read
+    whole, in memory that grows with the page. Repeated rows give repeated results; columns beside page_id, url and html are
+    ignored, also such as are called text or n_chars. No row meets another, so nothing is shuffled.
     """
     field = train(training or labelled_pages())
 

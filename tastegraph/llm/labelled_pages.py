@@ -55,19 +55,75 @@ def _words(rng: random.Random, about: int) -> str:
     return " ".join([words[0].capitalize(), *words[1:]])
 
 
-def labelled_pages(each: int = 24, seed: int = 11) -> list[str]:
-    """``each`` pages of every layout; a part of them cut off, stripped of class names or without a heading."""
+#: Parts of composed layouts: names an element may have, by what it holds. Fixed values.
+TOP = "header masthead topbar navbar menu nav crumbs breadcrumb site-head logo skip-links toolbar search-box login".split()
+SIDE = "sidebar rail widget related promo ad advert banner sponsored trending newsletter share social tag-cloud archive-list".split()
+BOTTOM = "footer bottom site-foot legal copyright colophon sitemap disclaimer cookie-notice consent popup".split()
+SAID = "comments comment-list replies discussion responses reactions".split()
+MAIN = "content article story post entry main-text body-copy story-area page-body text".split()
+PLAIN = "wrap container row col box inner outer grid section block c1 x2 css-1ab region layout".split()
+
+
+def _named(rng: random.Random, tags: str, names: list[str]) -> tuple[str, str]:
+    """An element's start and end tags, mostly with a name of its kind, else with one that says nothing or none."""
+    tag, kind = rng.choice(tags.split()), rng.random()
+    name = rng.choice(names) if kind < 0.6 else rng.choice(PLAIN) if kind < 0.8 else ""
+    return f"<{tag}{f' {rng.choice(("class", "id"))}="{name}"' if name else ''}>", f"</{tag}>"
+
+
+def _rest(rng: random.Random, names: list[str]) -> str:
+    """What is no main text: links, short lines, a heading with a list."""
+    a, b = _named(rng, "div section aside nav header footer" if rng.random() < 0.3 else "div ul section", names)
+    if a.startswith("<ul"):
+        return a + "".join(f"<li>{{a:{rng.randint(1, 4)}}}</li>" for _ in range(rng.randint(2, 7))) + b
+    held = rng.choice(("[{a:2} |2-6]", "<ul>[<li>{a:3}</li>|2-6]</ul>", "<h3>{2}</h3><ul>[<li>{a:5}</li>|2-5]</ul>", "<p>{9}</p>", "<h4>{2}</h4><p>{14}</p>", "<p>{3}</p>{a:2}",
+                       "<form><label>{1}</label><input><button>{1}</button></form>", "<span>{2}</span> {a:1} {a:1}", "<p>&copy; {5}</p>"))
+    return a + held + b
+
+
+def _composed(rng: random.Random) -> str:
+    """A layout put together of named parts: rests above and below, main text of paragraphs, headings and lists between, comments at times."""
+    said = ""
+    if rng.random() < 0.35:
+        a, b = _named(rng, "div section ol", SAID)
+        said = a + "<h3>{2}</h3>" + "".join(f"<div class=\"comment\"><b>{{2}}</b><p>{{{rng.randint(6, 30)}}}</p></div>" for _ in range(rng.randint(1, 5))) + b
+    above = "".join(_rest(rng, TOP) for _ in range(rng.randint(1, 3)))
+    below = "".join(_rest(rng, SIDE) for _ in range(rng.randint(0, 3))) + said + "".join(_rest(rng, BOTTOM) for _ in range(rng.randint(1, 2)))
+    pieces = ["<h1 data-main>{7}</h1>"] if rng.random() < 0.85 else []
+    pieces += ['<p class="byline">{3}</p>'] if rng.random() < 0.2 else []
+    paragraph = rng.choice(("<p data-main>{35}</p>", "<p data-main>{35}</p>", "<div data-main>{30}</div>"))
+    for _ in range(rng.randint(2, 7)):
+        pieces.append(rng.choice((
+            paragraph, paragraph, paragraph, "<p data-main>{6}</p>", "<h2 data-main>{4}</h2>" + paragraph, "<blockquote data-main>{14}</blockquote>",
+            "<ul>[<li data-main>{8}</li>|2-6]</ul>", "<ol>[<li data-main>{3}</li>|2-5]</ol>", "<ul>[<li data-main><b>{1}</b> {6}</li>|2-4]</ul>",
+            "<table>[<tr><td data-main>{2}</td><td data-main>{1}</td></tr>|2-4]</table>", f"<p data-main>{{20}} {{a:2}} {{8}}</p>", _rest(rng, SIDE) if rng.random() < 0.3 else paragraph)))
+    a, b = _named(rng, "article main div div section td", MAIN)
+    body = a + "".join(pieces) + b
+    for _ in range(rng.randint(0, 3)):
+        a, b = _named(rng, "div section", PLAIN)
+        whole = rng.random() < 0.5
+        above, body, below = (a + above, body, below + b) if whole else (above, a + body + b, below)
+    return f"<html><body>{above}{body}{below}</body></html>"
+
+
+def composed_layouts(n: int, seed: int) -> list[str]:
+    """``n`` layouts, each of its own make."""
+    rng = random.Random(seed)
+    return [_composed(rng) for _ in range(n)]
+
+
+def labelled_pages(each: int = 24, seed: int = 11, composed: int = 300, layouts: tuple[str, ...] = LAYOUTS) -> list[str]:
+    """``each`` pages of every layout and one of every composed layout; a part of them cut off, stripped of class names or without a heading."""
     rng = random.Random(seed)
     out = []
-    for layout in LAYOUTS:
-        for _ in range(each):
-            page = layout
-            while (m := _REPEAT.search(page)) is not None:
-                page = page[: m.start()] + m[1] * rng.randint(int(m[2]), int(m[3])) + page[m.end() :]
-            page = _TEXT.sub(lambda m: f'<a href="/x">{_words(rng, int(m[2]))}</a>' if m[1] else _words(rng, int(m[2])), page)
-            if rng.random() < 0.15:
-                page = re.sub(r"<h1[^>]*>.*?</h1>", "", page, count=1)
-            if rng.random() < 0.1:
-                page = page[: rng.randint(len(page) // 2, len(page))]
-            out.append(page)
+    for layout in [*(x for x in layouts for _ in range(each)), *composed_layouts(composed, seed)]:
+        page = layout
+        while (m := _REPEAT.search(page)) is not None:
+            page = page[: m.start()] + m[1] * rng.randint(int(m[2]), int(m[3])) + page[m.end() :]
+        page = _TEXT.sub(lambda m: f'<a href="/x">{_words(rng, int(m[2]))}</a>' if m[1] else _words(rng, int(m[2])), page)
+        if rng.random() < 0.15:
+            page = re.sub(r"<h1[^>]*>.*?</h1>", "", page, count=1)
+        if rng.random() < 0.1:
+            page = page[: rng.randint(len(page) // 2, len(page))]
+        out.append(page)
     return out
