@@ -49,9 +49,9 @@ def _lines(documents: DataFrame, depth: int) -> DataFrame:
     return _once(rows, "leaf", F.xxhash64("size", masked(F.substring_index("tokens", " ", depth))))
 
 
-def _least(size: Column, least: int) -> Column:
-    """Documents in which a template of a size recurs."""
-    return F.when(size >= LONG, min(TWO, least)).otherwise(least)
+def _least(long: Column, least: int) -> Column:
+    """Documents in which a template of long or of other lines recurs."""
+    return F.when(long, min(TWO, least)).otherwise(least)
 
 
 def _word(leaf: Column) -> Column:
@@ -76,20 +76,23 @@ def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUM
     scan, before an exact join; equal lines are counted first, so a line that a third of all documents share is one row a task.
     """
     hashed = written(_lines(documents, depth).select(
-        "d", "t", "line_no", "leaf", "size", F.xxhash64(masked(F.col("tokens"))).alias("v"), F.xxhash64("line").alias("own")))
-    busy = checkpoint(hashed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(
-        F.col("n") >= _least(F.col("size"), least)).select("leaf"))
+        "d", "t", "line_no", "leaf", (F.col("size") >= LONG).alias("long"), F.xxhash64(masked(F.col("tokens"))).alias("v"), F.xxhash64("line").alias("own")))
+    full = least if (LONG - depth) * 100 >= LONG * literal else min(TWO, least)
+    busy = checkpoint(hashed.groupBy("leaf").agg(F.count("*").alias("n"), F.bool_or("long").alias("long")).where(
+        F.col("n") >= _least(F.col("long"), least)).select("leaf", (F.col("n") >= full).alias("full")))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(leaf, 20), 64) as int))")
     bits = F.broadcast(busy.groupBy(_word(F.col("leaf")).alias("word")).agg(  # at most FILTER_WORDS rows
-        F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(leaf, 20), 64) as int))")).alias("bits")))
+        F.bit_or(bit).alias("busy"), F.bit_or(F.when(F.col("full"), bit).otherwise(F.lit(0))).alias("full")))
 
-    def likely(lines: DataFrame) -> DataFrame:
-        return lines.withColumn("word", _word(F.col("leaf"))).join(bits, "word").where(F.getbit("bits", _bit(F.col("leaf"))) == 1).drop("word", "bits")
+    def likely(lines: DataFrame, which: str) -> DataFrame:
+        return lines.withColumn("word", _word(F.col("leaf"))).join(bits.select("word", F.col(which).alias("bits")), "word").where(
+            F.getbit("bits", _bit(F.col("leaf"))) == 1).drop("word", "bits")
 
-    found = checkpoint(likely(hashed).join(busy, "leaf"))
-    counts = found.groupBy("leaf", "v").agg(F.count("*").alias("n"))
-    texts = _once(likely(_lines(documents, depth)).select("leaf", "tokens", "size"), "masked", masked(F.col("tokens"))).select(
+    found = written(likely(hashed, "busy").join(busy, "leaf").drop("long"))
+    counts = found.groupBy("leaf", "v", "full").agg(F.count("*").alias("n"))
+    texts = _once(likely(_lines(documents, depth), "full").select("leaf", "tokens", "size"), "masked", masked(F.col("tokens"))).select(
         "leaf", F.xxhash64("masked").alias("v"), "masked", "size").dropDuplicates(["leaf", "v"])
-    variants = checkpoint(texts.join(counts, ["leaf", "v"]))
+    variants = checkpoint(texts.join(counts.where("full").drop("full"), ["leaf", "v"]))
     tokens = variants.select("leaf", "v", "n", "size", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(
         "leaf", "at", "token", F.lit(True).alias("common"))
@@ -103,20 +106,22 @@ def recurring_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUM
     rest = F.when(plain, F.col("v")).otherwise(F.xxhash64(F.transform("rest", lambda x: x["token"])))
     # how many literal tokens the template keeps
     fields = leading + F.coalesce(F.when(plain, F.col("fields") - F.col("rare")).otherwise(F.col("fields")), F.lit(0))
+    general = (F.col("size") - fields) * 100 >= F.col("size") * literal
     templates = variants.join(judged, ["leaf", "v"], "left").select(
-        "leaf", "v", "n", F.struct(plain.alias("plain"), rest.alias("rest")).alias("template"),
-        ((F.col("size") - fields) * 100 >= F.col("size") * literal).alias("general"))
-    own = F.struct(F.lit(True).alias("plain"), F.col("own").alias("rest"))
+        "leaf", "v", "n", (F.col("size") >= LONG).alias("long"), F.when(general, F.xxhash64(plain, rest)).alias("template"))
+    # where fewer than ``least`` lines are no token is common, so each is its own template, and a long one is literal enough
+    twins = counts.where("not full and n > 1").select("leaf", "v", "n", F.lit(True).alias("long"), F.xxhash64(F.lit(True), "v").alias("template"))
     # a line or a template that stands in a large share of all lines meets its rows where they lie
-    sorted_ = checkpoint(join_counted(found.select("d", "t", "line_no", "leaf", "v", "own", "size"), templates, ["leaf", "v"], "n").select(
-        "d", "t", "line_no", "leaf", "size", "general", F.when(F.col("general"), F.col("template")).otherwise(own).alias("template")))
+    named = join_counted(found.drop("full"), templates.unionByName(twins), ["leaf", "v"], "n").select(
+        "d", "t", "line_no", "leaf", "long", F.col("template").isNotNull().alias("general"), F.coalesce("template", "own").alias("template"))
     name = ["leaf", "general", "template"]
-    in_documents = sorted_.groupBy(*name, "d", "t").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"), F.max("size").alias("size"))
-    recurring = in_documents.groupBy(*name).agg(
-        F.count("*").alias("documents"), F.min(F.struct("d", "t", "line_no")).alias("first"), F.sum("n").alias("n"), F.max("size").alias("of")).where(
-        F.col("documents") >= _least(F.col("of"), least))
-    met = join_counted(sorted_.drop("size"), recurring.drop("documents", "of"), name, "n")
-    return met.where(F.struct("d", "t", "line_no") != F.col("first")).select("d", "t", "line_no")
+    held = written(named.groupBy(*name, "d", "t").agg(F.sort_array(F.collect_list("line_no")).alias("lines"), F.bool_or("long").alias("long")))
+    recurring = held.groupBy(*name).agg(
+        F.count("*").alias("n"), F.bool_or("long").alias("long"), F.min(F.struct("d", "t")).alias("first")).where(
+        F.col("n") >= _least(F.col("long"), least)).drop("long")
+    kept = F.when(F.struct("d", "t") == F.col("first"), 1).otherwise(0)
+    return join_counted(held.drop("long"), recurring, name, "n").select(
+        "d", "t", F.explode(F.slice("lines", kept + 1, F.size("lines"))).alias("line_no"))
 
 
 def drop_lines(documents: DataFrame, depth: int = DEPTH, least: int = DOCUMENTS, free: int = FREE, literal: int = LITERAL) -> DataFrame:
