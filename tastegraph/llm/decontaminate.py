@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.spread import join_counted
+from tastegraph.llm.storage import written
 from tastegraph.llm.words import CACHE, pieces, split_words
+from tastegraph.plans.lineage import checkpoint
 
 #: Words of a passage and of the step to the next, share of an item's own score that retrieves it, words of a compared
 #: run, share of the runs of question and of answer that a leak must hold.
@@ -21,9 +24,13 @@ PASSAGE, STEP, RETRIEVED, RUN, HELD = 64, 32, 0.5, 5, 0.6
 SHORT, SLACK = 16, 2
 #: BM25's two parameters.
 K1, B = 1.2, 0.75
+#: Words an item needs to have two halves; a shorter one says too little to tell a leak.
+LEAST_WORDS = 3
 #: Parts of items in an index block, terms whose block impacts are kept as a dense table, passages scored at once;
 #: characters of items in one index. More items are searched for in several indexes, one after another.
 BLOCK, DENSE, ROWS, INDEX_CHARS = 4, 256, 1024, 2_000_000
+#: Digits of a score; the order in which an index adds impacts changes those behind.
+DIGITS = 9
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -56,6 +63,15 @@ def _runs(ids: list[int]) -> set[tuple[int, ...]]:
     return {tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)} if n else set()
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs of all items: their parts, the words of these, and in how many parts a term stands."""
+
+    parts: int
+    words: int
+    df: Mapping[bytes, int]
+
+
 @dataclass
 class Index:
     """BM25 impacts of items' terms as shares of the score that retrieves the item, in blocks of items with their largest impact.
@@ -85,12 +101,16 @@ def _parts(words: list[bytes]) -> list[list[bytes]]:
     return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
 
-def build(items: list[tuple[int, str | None]], retrieved: float = RETRIEVED) -> Index:
-    """Index items by their words; items without words are never found."""
-    known = [(item_id, text, words) for item_id, text in items if (words := terms_of(text))]
+def build(items: list[tuple[int, str | None]], retrieved: float = RETRIEVED, corpus: Corpus | None = None) -> Index:
+    """Index items by their words, weighted over the ``corpus`` of all items, these alone if none is given.
+
+    Items of fewer than ``LEAST_WORDS`` words are never found.
+    """
+    known = [(item_id, text, words) for item_id, text in items if len(words := terms_of(text)) >= LEAST_WORDS]
     entries = [(i, Counter(part)) for i, (_, _, words) in enumerate(known) for part in _parts(words)]
-    df = Counter(t for _, c in entries for t in c)
-    n, average = len(entries), sum(sum(c.values()) for _, c in entries) / max(len(entries), 1)
+    if corpus is None:
+        corpus = Corpus(len(entries), sum(sum(c.values()) for _, c in entries), Counter(t for _, c in entries for t in c))
+    df, n, average = corpus.df, corpus.parts, corpus.words / max(corpus.parts, 1)
     weighed = []
     for item, c in entries:
         norm = K1 * (1 - B + B * sum(c.values()) / average)
@@ -99,7 +119,7 @@ def build(items: list[tuple[int, str | None]], retrieved: float = RETRIEVED) ->
         weighed.append((item, {t: v / least for t, v in impact.items()}))
     # neighbours in a block share their rarest words as far as possible
     weighed.sort(key=lambda w: (sorted(w[1], key=lambda t: (df[t], t))[:2], w[0]))
-    groups = [weighed[b : b + BLOCK] for b in range(0, n, BLOCK)]
+    groups = [weighed[b : b + BLOCK] for b in range(0, len(weighed), BLOCK)]
     tops: dict[bytes, dict[int, float]] = {}
     for b, group in enumerate(groups):
         for _, impact in group:
@@ -183,7 +203,7 @@ def retrieve(grid: np.ndarray, index: Index) -> list[tuple[int, int, float]]:
             for t in terms[p].tolist():
                 if t in rows:
                     scores += rows[t]
-            found += [(int(own[p]), index.owners[b][k], float(scores[k])) for k in np.flatnonzero(scores >= 1)]
+            found += [(int(own[p]), index.owners[b][k], float(scores[k])) for k in np.flatnonzero(scores >= 1 - 10.0**-DIGITS)]
     return found
 
 
@@ -203,21 +223,21 @@ def leaks(texts: list[str | None], index: Index, known: TermIds) -> list[list[tu
         reach = index.lengths[item]
         words = ids[max(0, at - reach) : at + PASSAGE + reach].tolist()
         near = _runs_of(words, index, item)
-        q, a = (len(near & part) / len(part) if part else 1.0 for part in (index.question[item], index.answer[item]))
+        q, a = (len(near & part) / len(part) for part in (index.question[item], index.answer[item]))
         question, answer = index.sides[item]
         # a short half may have lost all its runs by one word; it is looked for beside the other half
         if q >= HELD > a and len(answer) <= SHORT:
             a = max(a, _beside(words, question, answer))
         elif a >= HELD > q and len(question) <= SHORT:
             q = max(q, _beside(words[::-1], answer[::-1], question[::-1]))
-        if q >= HELD and a >= HELD and (item not in held or (q + a, score) > (held[item][3] + held[item][4], held[item][2])):
-            held[item] = (index.item_ids[item], at, score, q, a)
+        if q >= HELD and a >= HELD and (item not in held or (q + a, round(score, DIGITS)) > (held[item][3] + held[item][4], held[item][2])):
+            held[item] = (index.item_ids[item], at, round(score, DIGITS), q, a)
     return [sorted(h.values(), key=lambda x: (x[0] is None, x[0] or 0)) for h in best]
 
 
 def _runs_of(ids: list[int], index: Index, item: int) -> set:
     """Runs of the lengths that question and answer have; both are shorter than a run only in very short items."""
-    sizes = {len(next(iter(part))) for part in (index.question[item], index.answer[item]) if part}
+    sizes = {len(next(iter(part))) for part in (index.question[item], index.answer[item])}
     return {tuple(ids[i : i + n]) for n in sizes for i in range(len(ids) - n + 1)}
 
 
@@ -243,24 +263,51 @@ def _in_order(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
+def _weighed(items: DataFrame) -> tuple[DataFrame, int, int]:
+    """(item_id, text, terms): the items with how many parts of all items hold each of their terms; number of parts and of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            out = [(item_id, text, k, len(part), sorted(set(part))) for item_id, text in zip(rows["item_id"], rows["text"], strict=True)
+                   if len(words := terms_of(text)) >= LEAST_WORDS for k, part in enumerate(_parts(words))]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["item_id", "text", "part", "words", "terms"])
+
+    parts = checkpoint(items.mapInArrow(run, "item_id long, text string, part int, words long, terms array<binary>"))
+    n, words = parts.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    listed = checkpoint(parts.select("item_id", "text", F.explode("terms").alias("term")))
+    df = listed.groupBy("term").agg(F.count("*").alias("n"))
+    terms = join_counted(listed, df, ["term"], "n").select("item_id", "text", F.struct("term", "n").alias("t")).groupBy("item_id", "text").agg(
+        F.collect_set("t").alias("terms"))
+    return terms, n, words
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, start_word, score, question_overlap, answer_overlap): every item that a document's whole text holds.
 
     An item's passages are retrieved by BM25 from every window of a text's words, all of them above the threshold, and count
     if runs of words of both its question and its answer are there; a short half whose runs are broken counts by the share of its
-    words that stand in order beside the other half. Items are indexed up to
-    ``index_chars`` characters at a time, so an index is of bounded size whatever the benchmark's; all documents are read once for each.
-    Rows with NULL or empty texts, in either table, leak nothing; repeated rows give repeated results.
+    words that stand in order beside the other half. BM25's statistics are of all items, so how many indexes there are changes no row. An
+    index holds about ``index_chars`` characters of items: one at a time passes the driver, and the documents are read once for each.
+
+    Rows with NULL or empty texts, in either table, and items of fewer than ``LEAST_WORDS`` words leak nothing. Repeated documents give
+    repeated results, a repeated item counts once, of equal passages the first is told. Texts of any length are read whole. Columns beside
+    doc_id, item_id and text are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    terms, parts, words = _weighed(items)
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-total // index_chars) or 1
+    terms = written(terms.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # bounded by index_chars
-        part = texts.mapInArrow(_search(rows), _RESULT)
+        rows = sorted(((r["item_id"], r["text"], r["terms"]) for r in terms.where(F.col("block") == block).collect()),  # bounded by index_chars
+                      key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        df = {bytes(t["term"]): t["n"] for *_, held in rows for t in held}
+        part = texts.mapInArrow(_search([r[:2] for r in rows], Corpus(parts, words, df)), _RESULT)
+        # all but the last are written at once, so the driver holds the items of one index
+        part = part if block == blocks - 1 else written(part)
         found = part if found is None else found.union(part)
     return found
 
@@ -268,9 +315,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, index_chars: int = IN
 _RESULT = "doc_id long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"
 
 
-def _search(rows: list[tuple[int, str]]):
+def _search(rows: list[tuple[int, str]], corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build(rows)
+        index = build(rows, corpus=corpus)
         known = TermIds(index)
         for part in pieces(batches):
             found = leaks(part["text"], index, known)
