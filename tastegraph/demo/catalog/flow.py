@@ -362,10 +362,13 @@ def raw_capture(t):
 
 
 @query("split_rejects", """
-    SELECT event_id, CASE WHEN event_type = 'error' THEN '$' WHEN event_type = 'view' THEN 'k' END AS failed_at FROM events""")
+    SELECT event_id, CASE WHEN event_type = 'error' THEN '$' WHEN event_type = 'view' THEN 'k' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'tags[1].id'
+                          WHEN event_type = 'click' AND event_id % 3 = 1 THEN 'tags[0].id,tags[2].id' END AS failed_at FROM events""")
 def split_rejects(t):
-    broken = F.when(c("event_type") == "error", F.substring("props", 1, 5)).when(c("event_type") == "view", F.lit('{"j": 1}')).otherwise(c("props"))
-    good, bad = P.split_rejects(t.events.select("event_id", broken.alias("payload")), "k int", ["k"])
+    tags = F.when(c("event_id") % 3 == 0, '{"id": 1}, {"id": null}, {"id": 3}').when(c("event_id") % 3 == 1, '{"id": "x"}, {"id": 2}, {}').otherwise('{"id": 1}')
+    broken = F.when(c("event_type") == "error", F.substring("props", 1, 5)).when(c("event_type") == "view", F.lit('{"j": 1}')).when(
+        c("event_type") == "click", F.concat(F.lit('{"k": 1, "tags": ['), tags, F.lit("]}"))).otherwise(c("props"))
+    good, bad = P.split_rejects(t.events.select("event_id", broken.alias("payload")), "k int, tags array<struct<id:int>>", ["k", "tags[].id"])
     return good.select("event_id", F.lit(None).cast("string").alias("failed_at")).unionByName(bad.select("event_id", "failed_at"))
 
 

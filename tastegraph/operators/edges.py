@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastegraph.plans.store import current, upsert
 from tastegraph.sources.ontology import with_meta
 from tastegraph.tables import Tables
 
@@ -75,18 +76,50 @@ def edge_bidirectional(edge: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def node_degree(edge: DataFrame) -> DataFrame:
-    """Edge rows touching each node, counted over both ends with map-side partial counts."""
+def _ends(edge: DataFrame) -> DataFrame:
+    """The nodes at both ends of every edge, as (node_type, node_id)."""
     ends = F.array(
         F.struct(F.col("subject_type").alias("node_type"), F.col("subject_id").alias("node_id")),
         F.struct(F.col("object_type").alias("node_type"), F.col("object_id").alias("node_id")),
     )
-    return (
-        edge.select(F.explode(ends).alias("e"))
-        .select("e.node_type", "e.node_id")
-        .groupBy("node_type", "node_id")
-        .agg(F.count("*").alias("degree"))
-    )
+    return edge.select(F.explode(ends).alias("e")).select("e.node_type", "e.node_id")
+
+
+def node_degree(edge: DataFrame) -> DataFrame:
+    """Edge rows touching each node, counted over both ends with map-side partial counts."""
+    return _ends(edge).groupBy("node_type", "node_id").agg(F.count("*").alias("degree"))
+
+
+def degree_changes(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(node_type, node_id, change): what added and removed edges do to degrees; nodes whose degree stays are left out."""
+    signed = _ends(added).withColumn("change", F.lit(1)).unionByName(_ends(removed).withColumn("change", F.lit(-1)))
+    return signed.groupBy("node_type", "node_id").agg(F.sum("change").alias("change")).filter(F.col("change") != 0)
+
+
+def update_degree(degree: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Degrees after edges came and went, without counting the others again; a node without edges has no row."""
+    both = degree.select("node_type", "node_id", "degree").unionByName(degree_changes(added, removed).withColumnRenamed("change", "degree"))
+    return both.groupBy("node_type", "node_id").agg(F.sum("degree").alias("degree")).filter(F.col("degree") > 0)
+
+
+def keep_degree(path: str, added: DataFrame, removed: DataFrame, change_no: int, buckets: int = 64) -> None:
+    """Bring a kept degree table at ``path`` up to date by change number ``change_no``, from 0; only buckets of touched nodes are written.
+
+    A change that is made again under its number finds the table as it was before it and writes the same once more.
+    """
+
+    def merge(held: DataFrame | None, changes: DataFrame) -> DataFrame:
+        new = changes.withColumnRenamed("change", "degree")
+        both = new if held is None else held.select("node_type", "node_id", "degree").unionByName(new)
+        return both.groupBy("node_type", "node_id").agg(F.sum("degree").alias("degree"))
+
+    upsert(degree_changes(added, removed), path, ["node_type", "node_id"], change_no, merge, buckets)
+
+
+def kept_degree(spark: SparkSession, path: str) -> DataFrame | None:
+    """The kept degrees; None if no change was made yet."""
+    held = current(spark, path)
+    return None if held is None else held.filter(F.col("degree") > 0)
 
 
 def node(t: Tables) -> DataFrame:

@@ -22,6 +22,9 @@ PATHS_RETURNED = 3
 MAX_OVERLAP = 0.5
 
 _STEP = ["predicate", "label", "inverse"]
+# how paths of a pair are ordered, and what costs may differ by and still be one to nine digits
+_ORDER = ["round(cost, 9)", "len", "steps"]
+_ROUNDING = 1e-8
 
 
 class Frontiers(NamedTuple):
@@ -78,35 +81,52 @@ def paths2(f: Frontiers) -> DataFrame:
     )
 
 
-def paths3(f: Frontiers, k: int = PATHS_RANKED) -> DataFrame:
-    """Three-hop paths A → m1 → m2 → B without returning to an end or staying on a middle, those that can be among the k cheapest.
+def ways(f: Frontiers, bound: DataFrame | None = None) -> DataFrame:
+    """Two-step ways from A to a node that reaches B, with what they cost and the cheapest step from there on.
 
-    Of the ways from A to one m2 only the k cheapest can be on the k cheapest paths, whichever step enters B, so the
-    others go before the last join.
+    ``bound`` (pair_id, bound) is what a path may cost at most to matter; a pair without one is not bounded. A first step is dropped before it
+    fans out if the cheapest middle step and the pair's cheapest last step already take it beyond the bound, and a way as soon as
+    it lands where the last step must be too dear, or where none leads to this pair's B.
     """
     reached = f.out.select(F.col("object_type").alias("subject_type"), F.col("object_id").alias("subject_id")).distinct()
     goals = f.into.select(F.col("subject_type").alias("object_type"), F.col("subject_id").alias("object_id")).distinct()
     # the middle step must leave a node A reaches and land on a node that reaches B
-    middle = _priced(
+    middle = checkpoint(_priced(
         f.steps.join(reached, ["subject_type", "subject_id"], "left_semi").join(goals, ["object_type", "object_id"], "left_semi"),
-        f.degree).filter(F.col("degree") <= HUB_BAN)
-    o, m = f.out.alias("o"), middle.alias("m")
+        f.degree).filter(F.col("degree") <= HUB_BAN))
+    last = f.into.groupBy("pair_id", F.col("subject_type").alias("object_type"), F.col("subject_id").alias("object_id")).agg(F.min("cost").alias("rest"))
+    limits = last.groupBy("pair_id").agg(F.min("rest").alias("nearest"))
+    limits = limits.withColumn("bound", F.lit(None).cast("double")) if bound is None else limits.join(bound, "pair_id", "left")
+    within = lambda cost: F.col("bound").isNull() | (cost <= F.col("bound") + _ROUNDING)
+    least = middle.agg(F.min("cost")).scalar()
+    o, m = f.out.join(limits, "pair_id").filter(within(F.col("cost") + least + F.col("nearest"))).alias("o"), middle.alias("m")
 
     def differs(kind: str, ident: str) -> Column:
         return ~((F.col("m.object_type") == F.col(kind)) & (F.col("m.object_id") == F.col(ident)))
 
     met = o.join(m, (F.col("m.subject_type") == F.col("o.object_type")) & (F.col("m.subject_id") == F.col("o.object_id"))).filter(
-        differs("o.a_type", "o.a_id") & differs("o.b_type", "o.b_id") & differs("o.object_type", "o.object_id"))
-    ways = met.select(
-        F.col("o.pair_id").alias("pair_id"), F.col("m.object_type").alias("subject_type"), F.col("m.object_id").alias("subject_id"),
+        differs("o.a_type", "o.a_id") & differs("o.b_type", "o.b_id") & differs("o.object_type", "o.object_id")).filter(
+        within(F.col("o.cost") + F.col("m.cost") + F.col("nearest")))
+    found = met.select(
+        F.col("o.pair_id").alias("pair_id"), F.col("m.object_type").alias("object_type"), F.col("m.object_id").alias("object_id"), "bound",
         (F.col("o.cost") + F.col("m.cost")).alias("way"), (F.col("o.degree") + F.col("m.degree")).alias("deg_sum"),
         F.array(_step("o", F.col("o.object_type"), F.col("o.object_id")), _step("m", F.col("m.object_type"), F.col("m.object_id"))).alias("first"))
+    return found.join(last, ["pair_id", "object_type", "object_id"]).filter(within(F.col("way") + F.col("rest"))).select(
+        "pair_id", F.col("object_type").alias("subject_type"), F.col("object_id").alias("subject_id"), "way", "deg_sum", "first")
+
+
+def paths3(f: Frontiers, k: int = PATHS_RANKED, bound: DataFrame | None = None) -> DataFrame:
+    """Three-hop paths A → m1 → m2 → B without returning to an end or staying on a middle, those that can be among the k cheapest.
+
+    Of the ways from A to one m2 only the k cheapest can be on the k cheapest paths, whichever step enters B, so the
+    others go before the last join.
+    """
     # costs are compared to nine digits after the last step is added: within rounding of the k-th nothing is cut
     place = Window.partitionBy("pair_id", "subject_type", "subject_id").orderBy("way")
-    ways = ways.withColumn("rn", F.row_number().over(place)).withColumn(
-        "bound", F.max(F.when(F.col("rn") <= k, F.col("way"))).over(Window.partitionBy("pair_id", "subject_type", "subject_id")))
+    counted = ways(f, bound).withColumn("rn", F.row_number().over(place)).withColumn(
+        "kth", F.max(F.when(F.col("rn") <= k, F.col("way"))).over(Window.partitionBy("pair_id", "subject_type", "subject_id")))
     i = f.into.alias("i")
-    return ways.filter(F.col("way") <= F.col("bound") + 1e-8).join(i, ["pair_id", "subject_type", "subject_id"]).select(
+    return counted.filter(F.col("way") <= F.col("kth") + _ROUNDING).join(i, ["pair_id", "subject_type", "subject_id"]).select(
         "pair_id", F.lit(3).alias("len"), (F.col("way") + F.col("i.cost")).alias("cost"),
         F.concat("first", F.array(_step("i", F.col("i.object_type"), F.col("i.object_id")))).alias("steps"), "deg_sum")
 
@@ -114,13 +134,19 @@ def paths3(f: Frontiers, k: int = PATHS_RANKED) -> DataFrame:
 def cheapest(paths: DataFrame, k: int = PATHS_RANKED) -> DataFrame:
     """The k cheapest of each pair's paths with their rarity; ties fall to length, then to the steps."""
     rarity = 1.0 / (1 + F.log1p(F.col("deg_sum").cast("double")))
-    ranked = top_rows(paths, ["pair_id"], [F.round("cost", 9), F.col("len"), F.col("steps")], k, "rank")
+    ranked = top_rows(paths, ["pair_id"], [F.expr(o) for o in _ORDER], k, "rank")
     return ranked.withColumn("rarity", rarity).drop("deg_sum")
 
 
+def cost_bound(two: DataFrame, k: int = PATHS_RANKED) -> DataFrame:
+    """(pair_id, bound): the cost of the k-th cheapest two-hop path of pairs that have so many; a dearer path of three hops cannot rank."""
+    return two.groupBy("pair_id").agg(F.count("*").alias("n"), F.max("cost").alias("bound")).filter(F.col("n") >= k).select("pair_id", "bound")
+
+
 def rank_paths(f: Frontiers, k: int = PATHS_RANKED) -> DataFrame:
     """The k cheapest paths of each pair, of two hops or three."""
-    return cheapest(paths2(f).unionByName(paths3(f, k)), k)
+    two = checkpoint(top_rows(paths2(f), ["pair_id"], [F.expr(o) for o in _ORDER], k, "rank").drop("rank"))
+    return cheapest(two.unionByName(paths3(f, k, cost_bound(two, k))), k)
 
 
 def diversify(ranked: DataFrame, limit: int = PATHS_RETURNED, overlap: float = MAX_OVERLAP) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A keyed Parquet table that a stream keeps up to date, rewriting only what a batch touches.
+"""A keyed Parquet table kept up to date batch by batch, rewriting only what a batch touches.
 
 Rows lie in hash buckets, each bucket in a folder of the batch that last wrote it: ``<path>/v=<batch>/bucket=<n>``. The newest folder of a
 bucket holds its rows. A batch reads the newest folders before it of the buckets it has rows for and writes its own, so a batch run
@@ -12,22 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def files(spark: SparkSession, path: str):
-    """The file system of a path and the path, as the JVM has them."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in a folder; none if there is no such folder."""
-    system, where = files(spark, path)
-    return [s.getPath().getName() for s in system.listStatus(where) if s.isDirectory()] if system.exists(where) else []
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    system, where = files(spark, path)
-    system.delete(where, True)
+from tastegraph.plans.folders import drop_folder, files, folders
 
 
 def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:

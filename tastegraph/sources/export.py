@@ -73,10 +73,23 @@ def titles_csv(t: Tables, account_ids: DataFrame, as_of: AsOf) -> DataFrame:
     return rows.select("account_id", "title_id", *[_field(v).alias(n) for n, v in zip(CSV_COLUMNS, values)])
 
 
+def csv_line(values: list[Column]) -> Column:
+    """One line of quoted fields, empty for NULL; what a value holds, line breaks too, is kept as it is."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(v.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for v in values]
+    return F.concat_ws(",", *quoted)
+
+
 def write_titles_csv(rows: DataFrame, path: str) -> None:
-    """Quoted fields, empty for NULL, CRLF line ends, one folder per account."""
-    (
-        rows.drop("title_id").repartitionByRange("account_id", "Title").sortWithinPartitions("account_id", "Title").write.mode("overwrite")
-        .partitionBy("account_id").option("header", True).option("quoteAll", True).option("escape", '"')
-        .option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").csv(path)
-    )
+    """The rows of ``titles_csv`` as lines that end in CRLF, titles in order, one folder per account whose files follow each other by name.
+
+    The header stands in front of an account's first line. Lines are written as text: Spark's CSV writer turns line breaks inside a
+    value into line ends.
+    """
+    heads = rows.select("account_id").distinct().select(
+        "account_id", F.lit(0).alias("place"), F.lit(None).cast("string").alias("Title"), F.lit(None).cast(dict(rows.dtypes)["title_id"]).alias("title_id"),
+        csv_line([F.lit(c) for c in CSV_COLUMNS]).alias("value"))
+    lines = rows.select("account_id", F.lit(1).alias("place"), "Title", "title_id",
+                        csv_line([F.col(c) for c in CSV_COLUMNS]).alias("value"))
+    order = ["account_id", "place", "Title", "title_id"]
+    heads.unionByName(lines).repartitionByRange(*order).sortWithinPartitions(*order).select("account_id", "value").write.mode("overwrite").partitionBy(
+        "account_id").option("lineSep", "\r\n").text(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegraph.functions.scalars import AsOf, timestamp
+from tastegraph.plans.folders import drop_folder, files, folders
 
 # Offer types of a watch-provider payload, and how long payloads and counters are kept.
 OFFER_TYPES = ("flatrate", "free", "ads", "rent", "buy")
@@ -142,12 +143,34 @@ def parse_bindings(raw: DataFrame) -> DataFrame:
         entity_key(v("seriesType")).alias("series_type"), entity_key(v("influencedBy")).alias("influenced_by"))
 
 
+def failing_paths(record: Column, path: str) -> Column:
+    """Where a required path is NULL in a parsed record, as an array of text: ``credits.cast[].id`` gives ``credits.cast[3].id``.
+
+    A list is looked into as far as it goes; an absent or empty one holds nothing that could fail, an absent record fails as a whole.
+    """
+    head, many, rest = path.partition("[].")
+    steps = head.split(".")
+    value = record
+    for step in steps:
+        value = value[step]
+    if not many:
+        return F.when(value.isNull(), F.array(F.lit(path))).otherwise(F.array().cast("array<string>"))
+    inside = F.transform(value, lambda item, i: F.transform(
+        failing_paths(item, rest), lambda p: F.concat(F.lit(f"{head}["), i.cast("string"), F.lit("]."), p)))
+    return F.coalesce(F.flatten(inside), F.array().cast("array<string>"))
+
+
 def split_rejects(raw: DataFrame, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Payloads that parse with their required fields, and the others with where they fail."""
+    """Payloads that parse with their required fields, and the others with where they fail, joined by commas.
+
+    ``required`` names fields of the schema at any depth, ``[]`` after a list's name standing for each of its items. Text that is no JSON
+    fails at ``$``, as does a value of the wrong kind in a field that is not required.
+    """
     p = raw.withColumn("p", F.from_json("payload", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    missing = F.filter(F.array(*[F.when(F.col(f"p.{f}").isNull(), F.lit(f)) for f in required]), lambda f: f.isNotNull())
-    path = F.when(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull(), "$").otherwise(F.array_join(missing, ","))
-    judged = p.withColumn("failed_at", F.nullif(path, F.lit(""))).drop("p")
+    missing = F.flatten(F.array(*[failing_paths(F.col("p"), f) for f in required])) if required else F.array().cast("array<string>")
+    broken = F.col("p").isNull() | F.expr("try_parse_json(payload)").isNull()
+    path = F.when(broken, "$").when(F.size(missing) > 0, F.array_join(missing, ",")).when(F.col("p._corrupt_record").isNotNull(), "$")
+    judged = p.withColumn("failed_at", path).drop("p")
     return judged.filter(F.col("failed_at").isNull()).drop("failed_at"), judged.filter(F.col("failed_at").isNotNull())
 
 
@@ -156,6 +179,28 @@ def prune_payloads(raw: DataFrame, as_of: AsOf, days: int = PAYLOAD_DAYS) -> Dat
     return raw.filter(F.col("fetched_at") >= timestamp(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def write_payloads(raw: DataFrame, path: str) -> None:
+    """Add payloads to a table with one folder for each day they were fetched."""
+    raw.withColumn("fetched_on", F.to_date("fetched_at")).repartition("fetched_on").write.mode("append").partitionBy("fetched_on").parquet(path)
+
+
+def prune_payload_folders(spark: SparkSession, path: str, as_of: AsOf, days: int = PAYLOAD_DAYS) -> None:
+    """Delete what is too old from a table of ``write_payloads``: whole days go with their folders, the day of the limit is rewritten, no other is touched."""
+    limit = spark.range(1).select((timestamp(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("t")).select(
+        F.to_date("t").cast("string").alias("day"), "t").first()
+    for name in folders(spark, path):
+        day = name.removeprefix("fetched_on=")
+        if day < limit["day"]:
+            drop_folder(spark, f"{path}/{name}")
+        elif day == limit["day"]:
+            # written beside the table first, so that the day is never without its rows
+            old, new = f"{path}/{name}", f"{path}/_young-{day}"
+            spark.read.parquet(old).filter(F.col("fetched_at") >= F.lit(limit["t"])).write.mode("overwrite").parquet(new)
+            drop_folder(spark, old)
+            system, where = files(spark, new)
+            system.rename(where, spark._jvm.org.apache.hadoop.fs.Path(old))
+
+
 def prune_counters(counters: DataFrame, as_of: AsOf, days: int = COUNTER_DAYS) -> DataFrame:
     """Rate-limit counters young enough to matter."""
     return counters.filter(F.col("window_start") >= timestamp(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))

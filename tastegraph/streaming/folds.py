@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tastegraph.operators.events import KEY, REMOVED, apply_watch_events, live_views
-from tastegraph.streaming.store import upsert
+from tastegraph.plans.store import upsert
 from tastegraph.tables import Tables
 
 

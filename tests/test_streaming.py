@@ -5,8 +5,8 @@ import os
 import random
 
 from tastegraph.operators.events import apply_watch_events, count_views, sliding_limit, status_transitions
+from tastegraph.plans import store
 from tastegraph.sources.payloads import raw_capture
-from tastegraph.streaming import store
 from tastegraph.streaming.folds import capture_stream, limiter_stream, transitions_stream, views_stream, watch_stream
 from tastegraph.tables import Tables
 
