@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph.llm.components import components
+from tastegraph.llm.spread import join_counted
 from tastegraph.llm.storage import written
 from tastegraph.llm.words import WordHash, mix, pieces, shingles, split_words
 from tastegraph.plans.lineage import checkpoint
 
 #: Words of a shingle, coordinates of a signature, coordinates a candidate pair must agree in, likeness in hundredths.
-#: A pair of likeness 0.75 agrees in 48 of 64 on average; the chance of fewer than 32 is below one in a million.
-WIDTH, COORDINATES, MATCHES, PERCENT = 5, 64, 32, 75
+#: A pair of likeness 0.75 agrees in 48 of 64 on average; the chance of fewer than 30 is 0.4 in a million.
+WIDTH, COORDINATES, MATCHES, PERCENT = 5, 64, 30, 75
 SEED = 20_240_607
 #: Shingles of a chunk whose sets one task compares with another chunk's, and what each set counts beside its own.
 CHUNK, LEAST_WEIGHT = 250_000, 250
+#: Signatures of a chunk of a crowd; two chunks meet in one task.
+CROWD = 1024
 
 
 def _multipliers(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +40,7 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 204
 
 
 def sign(documents: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature) of every document; set_a and set_b are 128 bits that name the set."""
+    """(doc_id, t, n_shingles, set_a, set_b, signature) of every document; t names its text, set_a and set_b are 128 bits that name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = WordHash(), _multipliers(coordinates)
@@ -51,15 +54,16 @@ def sign(documents: DataFrame, width: int = WIDTH, coordinates: int = COORDINATE
                     names_b.append(int(mix(s ^ np.uint64(SEED)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     signed.append(signature(s, a, b).view(np.int32) if len(s) else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(names_a, pa.int64()),
+                [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["t"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(names_a, pa.int64()),
                  pa.array(names_b, pa.int64()), pa.array(signed, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+                ["doc_id", "t", "n_shingles", "set_a", "set_b", "signature"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>")
+    return _texts(documents).mapInArrow(run, "doc_id long, t long, n_shingles long, set_a long, set_b long, signature array<int>")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
 
 def postings(sets: DataFrame, matches: int) -> DataFrame:
@@ -76,6 +80,72 @@ def postings(sets: DataFrame, matches: int) -> DataFrame:
         F.explode(F.expr(f"slice(l, 1, size(l) - {matches - 1})")).alias("p"), "node").select("p.token", "node")
 
 
+def ties(sets: DataFrame, posted: DataFrame, matches: int) -> DataFrame:
+    """(a, b): ties that span what agrees in ``matches`` coordinates or more among the nodes posted under each coordinate-value pair.
+
+    The nodes under one coordinate-value pair are a crowd. Of crowds with the same members one is looked at; a large one is cut into chunks and every
+    two chunks meet in one task, which counts the coordinates that each two signatures share and returns one tie a node, not all pairs.
+    """
+    crowds = posted.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("n > 1")
+    crowds = crowds.groupBy("n", "s", "x").agg(F.min("token").alias("token")).select("token", "n")
+    cut = join_counted(posted, crowds, ["token"], "n").withColumn("chunks", F.expr(f"(n + {CROWD - 1}) div {CROWD}")).withColumn(
+        "chunk", F.expr("pmod(xxhash64(node), chunks)"))
+    others = F.expr("IF(chunks = 1, array(0L), filter(sequence(0L, chunks - 1), c -> c <> chunk))")
+    dealt = cut.withColumn("with", F.explode(others)).select("token", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "node")
+    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = dealt.join(sets.select("node", "signature"), "node")
+    ordered = signed.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, signatures = None, [], []
+
+        def tied() -> list[tuple[int, int]]:
+            first = led(agreeing(np.array(signatures, np.int32), matches)).tolist() if len(nodes) > 1 else []
+            return [(nodes[x], node) for x, node in zip(first, nodes) if nodes[x] != node]
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for rows in pieces(batches, 4096):
+            out = []
+            for token, i, j, node, signature_ in zip(rows["token"], rows["i"], rows["j"], rows["node"], rows["signature"], strict=True):
+                if key != (token, i, j):
+                    out += tied()
+                    key, nodes, signatures = (token, i, j), [], []
+                nodes.append(node)
+                signatures.append(signature_)
+            yield batch(out)
+        yield batch(tied())
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def agreeing(signatures: np.ndarray, matches: int) -> np.ndarray:
+    """Which two signatures agree in ``matches`` coordinates or more."""
+    n = len(signatures)
+    shared = np.zeros((n, n), np.uint8)
+    for column in signatures.T if n > 64 else []:
+        shared += column[:, None] == column[None, :]
+    if n <= 64:
+        shared = (signatures[:, None, :] == signatures[None, :, :]).sum(axis=2)
+    near = shared >= matches
+    np.fill_diagonal(near, False)
+    return near
+
+
+def led(near: np.ndarray) -> np.ndarray:
+    """For each member the first that it reaches over pairs."""
+    n = len(near)
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def linked(sets: list[np.ndarray], percent: int, often: int = 64, columns: int = 1024) -> np.ndarray:
     """For each set the first of those it reaches over links, where 100 * intersection >= percent * union.
 
@@ -103,13 +173,7 @@ def linked(sets: list[np.ndarray], percent: int, often: int = 64, columns: int =
     both = np.maximum(both, both.T)
     near = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
     np.fill_diagonal(near, False)
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
+    return led(near)
 
 
 def confirm(members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,31 +218,34 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, coordinates: int =
 
     Documents link where 100 * intersection >= percent * union of their sets of ``width``-word shingles; candidates agree in
     ``matches`` coordinates of their signatures. Equal sets form one class first, so exact copies are never compared.
-    Classes under one coordinate-value pair are candidates of each other: each is tied to one of them,
-    tied classes form a part, and all full sets of a part are compared in blocks. No pair is ever a row.
+    Classes are posted under their rarest coordinate-value pairs; among those under one pair the coordinates that signatures share are counted,
+    and ``matches`` or more tie two classes. Tied classes form a part, and all full sets of a part are compared in blocks. No pair is ever a row.
 
-    Texts without words have no shingles and link with nothing. Rows of one doc_id count as one document. A row
-    without doc_id links with nothing: component NULL, kept. Repeated rows each stay.
+    Texts without words have no shingles and link with nothing. Rows of one doc_id count as one document, by its set if they have one text, else
+    by that of the text whose hash is smallest among those it stands for. A row without doc_id links with nothing: component NULL, kept.
+    Repeated rows each stay. Texts of any length are read whole; other columns are ignored; an empty table gives none.
     """
     signed = checkpoint(sign(documents, width, coordinates))
     classes = checkpoint(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    posted = checkpoint(postings(classes.groupBy("node").agg(F.first("signature").alias("signature")), matches))
-    crowded = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    tied = posted.join(crowded, "token").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    parts = components(tied, "a", "b")
+        .agg(F.min(F.struct("doc_id", "t")).alias("named"), F.first("signature").alias("signature"), F.count("*").alias("n"))  # one set has one signature
+        .select("set_a", "set_b", "n_shingles", "n", F.col("named.doc_id").alias("node"), F.col("named.t").alias("t"), "signature"))
+    sets = checkpoint(classes.groupBy("node").agg(F.min_by(F.struct("t", "signature", "n_shingles"), F.struct("t", "set_a", "set_b")).alias("c")).select("node", "c.*"))
+    posted = checkpoint(postings(sets, matches))
+    parts = components(ties(sets, posted, matches), "a", "b")
     parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())
-    weights = classes.groupBy("node").agg((F.max("n_shingles") + LEAST_WEIGHT).alias("weight"))
+    chosen = parts.join(sets.select("node", "t", (F.col("n_shingles") + LEAST_WEIGHT).alias("weight")), "node")
     texts = _texts(documents).withColumnRenamed("doc_id", "node")
     members = written(
-        parts.join(weights, "node").join(texts, "node").select(F.col("component").alias("part"), "node", "weight", "text").dropDuplicates(["node"]))
+        chosen.join(texts, ["node", "t"]).select(F.col("component").alias("part"), "node", "weight", "text").dropDuplicates(["node"]))
     groups = components(confirm(members, width, percent), "a", "b")
     named = classes.join(groups, "node", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("found"))
-    return signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("found", "doc_id"), F.lit(True)).alias("kept"))
+        "set_a", "set_b", "n_shingles", "n", F.coalesce("component", "node").alias("found"))
+    # a set that many documents have meets them where they lie
+    linked_ = join_counted(signed.where("n_shingles > 0 and doc_id is not null"), named, ["set_a", "set_b", "n_shingles"], "n")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked_.select("doc_id", "n_shingles", F.col("found").alias("component_id")).unionByName(alone).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(documents: DataFrame, **how: int) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from tastegraph.llm import minhash
 from tastegraph.llm.minhash import deduplicate, near_duplicates
 
 
@@ -47,6 +48,44 @@ def test_components_equal_brute_force(docs):
     assert got == brute(rows)
 
 
+def test_crowds_in_chunks_tie_what_all_pairs_tie(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [[rng.randint(-9, 9) for _ in range(64)] for _ in range(6)]
+    rows = []
+    for i in range(150):
+        own = list(rng.choice(base))
+        for k in rng.sample(range(64), rng.randint(0, 45)):
+            own[k] = rng.randint(100, 10**6)
+        rows.append((i * 2, own))
+    sets = spark.createDataFrame(rows, "node long, signature array<int>")
+
+    def groups(pairs):
+        parent = {n: n for n, _ in rows}
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for a, b in pairs:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        return {n: root(n) for n in parent}
+
+    agree = [(a, b) for k, (a, s) in enumerate(rows) for b, t in rows[:k] if sum(x == y for x, y in zip(s, t)) >= 30]
+    for crowd in (5, 1024):
+        monkeypatch.setattr(minhash, "CROWD", crowd)
+        found = [tuple(r) for r in minhash.ties(sets, minhash.postings(sets, 30), 30).collect()]
+        assert groups(found) == groups(agree) and len(set(groups(agree).values())) > 6
+        assert len(set(found)) < len(agree)
+
+
+def test_rows_of_one_doc_id_with_several_texts_give_the_same_each_time(docs):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, b)]
+    once = sorted(tuple(r) for r in near_duplicates(docs(*rows)).collect())
+    again = sorted(tuple(r) for r in near_duplicates(docs(*rows[::-1]).repartition(3)).collect())
+    assert once == again and {r[2] for r in once if r[0] in (5, 9)} == {5}
+
+
 def test_repeated_and_nameless_rows(docs):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text), (5, text), (None, text), (7, text), (9, "long " + "x y z " * 30_000)]
