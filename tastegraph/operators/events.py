@@ -137,11 +137,15 @@ def expand_progress(events: DataFrame, episode_view: DataFrame) -> DataFrame:
     ep = episode_view.select(F.col("id").alias("episode_id"), "title_id", "season_number", "episode_number", "has_aired")
     cols = ["account_id", "title_id", "episode_id", "occurred_at", "event_id"]
     target = ep.select("episode_id", F.col("season_number").alias("to_season"), F.col("episode_number").alias("to_episode"))
-    through = events.filter(F.col("action") == "through").join(target, "episode_id").select(
-        "account_id", "title_id", "occurred_at", "event_id", "to_season", "to_episode").join(
-        ep.filter("has_aired"), "title_id").filter(
-        tuple_le([F.col("season_number"), F.col("episode_number")], [F.col("to_season"), F.col("to_episode")]))
     season = events.filter(F.col("action").isin("season", "unseason")).drop("episode_id")
+    taken_back = season.filter(F.col("action") == "unseason").select(*KEY).distinct()
+    reach = events.filter(F.col("action") == "through").join(target, "episode_id").select(
+        "account_id", "title_id", "occurred_at", "event_id", "to_season", "to_episode")
+    # an episode counts from the first event that reaches it, so where nothing is taken back one event per place is enough
+    first = reach.join(taken_back, KEY, "left_anti").groupBy(*KEY, "to_season", "to_episode").agg(F.min(_when()).alias("w")).select(
+        *KEY, "w.occurred_at", "w.event_id", "to_season", "to_episode")
+    through = first.unionByName(reach.join(taken_back, KEY, "left_semi")).join(ep.filter("has_aired"), "title_id").filter(
+        tuple_le([F.col("season_number"), F.col("episode_number")], [F.col("to_season"), F.col("to_episode")]))
     marked = season.filter(F.col("action") == "season").join(ep.filter("has_aired"), ["title_id", "season_number"])
     unmarked = season.filter(F.col("action") == "unseason").join(ep, ["title_id", "season_number"])
     marks = through.select(*cols).unionByName(marked.select(*cols))

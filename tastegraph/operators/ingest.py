@@ -98,6 +98,12 @@ def _upsert(current: DataFrame, incoming: DataFrame, keys: list[str], merge: dic
     return both.select(*out)
 
 
+def _one(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, the largest by all its columns, so that a task run again keeps the same."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*[c if c in keys else F.col("r")[c].alias(c) for c in rows.columns])
+
+
 def _latest(incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each natural key; NULL key parts compare as equal."""
     rest = [c for c in incoming.columns if c not in keys]
@@ -130,7 +136,7 @@ def show_rows(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def _upsert_titles(title: DataFrame, rows: DataFrame, volatile: list[str], as_of: AsOf) -> DataFrame:
-    once = rows.dropDuplicates(["id"]).withColumn("synced_at", timestamp(as_of))
+    once = _one(rows, ["id"]).withColumn("synced_at", timestamp(as_of))
     merge = {c: F.col(f"i.{c}") for c in [*volatile, "synced_at"] if c in title.columns}
     return _upsert(title, once, ["id"], merge)
 
@@ -283,7 +289,7 @@ def upsert_episodes(episode: DataFrame, parsed: DataFrame, season: DataFrame, re
     seasons = season.select(F.col("id").alias("season_id"), "title_id", "season_number")
     e = parsed.join(titles, "source_id").join(seasons, ["title_id", "season_number"])
     fields = ["name", "air_date", "runtime_minutes"]
-    rows = e.select("season_id", "title_id", "episode_number", *fields).dropDuplicates(["season_id", "episode_number"]).withColumn(
+    rows = _one(e.select("season_id", "title_id", "episode_number", *fields), ["season_id", "episode_number"]).withColumn(
         "id", F.concat_ws("-", "season_id", "episode_number"))
     merge = {c: F.col(f"i.{c}") for c in fields if c in episode.columns}
     return _upsert(episode, rows, ["season_id", "episode_number"], merge)
