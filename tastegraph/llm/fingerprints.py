@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegraph.llm.storage import written
 from tastegraph.llm.words import WordHash, mix, pieces, split_words
 
-#: Samples of a fingerprint, slices the documents are put in order by, rows of a gamma table.
-SAMPLES, SLICES, TABLE = 64, 1024, 1 << 16
+#: Samples of a fingerprint, rows of a gamma table.
+SAMPLES, TABLE = 64, 1 << 16
 
 
 def _gamma_table() -> np.ndarray:
@@ -75,72 +76,91 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def _slice(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at or below the key; NULL is below all."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= key))
-
-
 def edit(text: str, following: str) -> str:
     """The text with its last half of code points, rounded down, replaced by as many first ones of what follows."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_documents(documents: DataFrame, samples: int = SAMPLES, slices: int = SLICES) -> DataFrame:
+def fingerprint_documents(documents: DataFrame, samples: int = SAMPLES, slices: int | None = None) -> DataFrame:
     """Fingerprint of every whole text and of its edited text, with their likeness and that to the next document.
 
-    The next document is the next distinct (doc_id, text) in ascending order, NULL doc_id first, and after the last the first; repeated rows
-    give repeated results. NULL texts are empty; empty texts have a fingerprint of their own that is like no other.
+    The next document is the next distinct (doc_id, text) in ascending order, NULL doc_id first, texts of one doc_id by their hash, and after
+    the last the first; repeated rows give repeated results. NULL texts are empty; empty texts have a fingerprint of their own that is like no
+    other. Texts of any length are read whole; other columns are ignored; an empty table gives none.
 
-    Documents are cut into slices by quantiles of doc_id and stream through a slice in order; the first of each slice is also
-    sent to the slice before, so each text is shuffled once and none is gathered.
+    Documents are range partitioned by (doc_id, hash of the text), into ``slices`` or as many parts as the session shuffles to, and stream through
+    a part in order. The last document of each part is told apart, with the first of the next: two texts a part. So each text is
+    shuffled once, a part is of the size the session asks for, and no list of bounds passes the driver.
     """
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shares = [i / slices for i in range(1, slices)]
-    found = base.agg(F.percentile_approx("doc_id", shares, 10_000).alias("q")).first()["q"]
-    placed = base.withColumns({"slice": _slice(F.col("doc_id"), sorted(set(found or []))), "h": F.xxhash64("text")})
-    # one row for each slice
-    starts = sorted(placed.groupBy("slice").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect(), key=lambda r: r["slice"])
-    before = [(r["first"]["doc_id"], r["first"]["h"], starts[i - 1]["slice"]) for i, r in enumerate(starts)]
-    ahead = documents.sparkSession.createDataFrame(before, "first_id long, first_h long, sent_to int")
-    rows = placed.join(F.broadcast(ahead), placed.doc_id.eqNullSafe(ahead.first_id) & (placed.h == ahead.first_h), "left")
-    own = F.struct(F.col("slice"), F.lit(0).alias("ahead"))
-    sent = F.when(F.col("sent_to").isNotNull(), F.struct(F.col("sent_to").alias("slice"), F.lit(1).alias("ahead")))
-    dealt = rows.select("doc_id", "text", "h", F.explode(F.array_compact(F.array(own, sent))).alias("to")).select(
-        "doc_id", "text", "h", "to.slice", "to.ahead")
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, "slice").sortWithinPartitions("slice", "ahead", "doc_id", "h", "text")
+    keyed = base.withColumn("h", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange(*([slices] if slices else []), "doc_id", "h")
+    ordered = dealt.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
         held, waiting = None, 0  # a document and how many equal rows of it wait for the next one
-
-        def results(following: tuple) -> list[tuple]:
-            (_, _, doc_id, text), mark = held
-            edited = edit(text, following[0][3])
-            other = sampler.fingerprint(edited)
-            sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            row = (doc_id, len(text), sha, mark.tobytes().hex(), other.tobytes().hex(), likeness(mark, other), likeness(mark, following[1]))
-            return [row] * waiting
-
         for part in pieces(batches):
             out: list[tuple] = []
-            for slice_, ahead_, doc_id, text in zip(part["slice"], part["ahead"], part["doc_id"], part["text"], strict=True):
-                key = (slice_, ahead_, doc_id, text)
+            for key in zip(part["doc_id"], part["h"], part["text"], strict=True):
                 if held and held[0] == key:
                     waiting += 1
                     continue
-                now = (key, sampler.fingerprint(text))
-                if held and held[0][0] == slice_ and not held[0][1]:
-                    out += results(now)
+                now = (key, sampler.fingerprint(key[2]))
+                if held:
+                    out += [(_RESULT, *_compared(sampler, *held, *now), None, None, None)] * waiting
+                else:
+                    out.append((_FIRST, key[0], *[None] * 6, key[1], key[2], 1))
                 held, waiting = now, 1
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], _NAMES)
+            yield _batch(out)
+        if held:
+            yield _batch([(_LAST, held[0][0], *[None] * 6, held[0][1], held[0][2], waiting)])
+
+    told = written(ordered.mapInArrow(run, _schema(_KINDS)))
+    ends = told.where(F.col("kind") != _RESULT).select("kind", "doc_id", "h", "text", "n")
+    # two keys a part, without their texts
+    order = Window.orderBy(F.col("doc_id").asc_nulls_first(), "h", "kind")
+    least = ends.agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "h"))).scalar()
+    after = ends.select("kind", "doc_id", "h", F.coalesce(F.lead(F.struct("doc_id", "h")).over(order), least).alias("next")).where(F.col("kind") == _LAST).select(
+        F.col("doc_id").alias("last_id"), F.col("h").alias("last_h"), F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
+    firsts = ends.where(F.col("kind") == _FIRST).select(F.col("doc_id").alias("first_id"), F.col("h").alias("first_h"), F.col("text").alias("following"))
+    lasts = ends.where(F.col("kind") == _LAST)
+    borders = lasts.join(after, lasts.doc_id.eqNullSafe(after.last_id) & (lasts.h == after.last_h)).join(
+        firsts, F.col("next_id").eqNullSafe(firsts.first_id) & (F.col("next_h") == firsts.first_h)).select("doc_id", "text", "following", "n")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(samples)
+        for part in pieces(batches):
+            out: list[tuple] = []
+            for doc_id, text, following, n in zip(*[part[c] for c in ("doc_id", "text", "following", "n")], strict=True):
+                pair = [((i, None, t), sampler.fingerprint(t)) for i, t in ((doc_id, text), (None, following))]
+                out += [(_RESULT, *_compared(sampler, *pair[0], *pair[1]), None, None, None)] * n
+            yield _batch(out)
 
-    kinds = ["long", "long", "string", "string", "string", "double", "double"]
-    return ordered.select("slice", "ahead", "doc_id", "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(_NAMES, kinds, strict=True)))
+    closed = borders.mapInArrow(close, _schema(_KINDS))
+    return told.where(F.col("kind") == _RESULT).unionByName(closed).select(*_NAMES)
+
+
+def _compared(sampler: Sampler, key: tuple, mark: np.ndarray, following: tuple, next_mark: np.ndarray) -> tuple:
+    """A document's result, given the document that follows it."""
+    doc_id, _, text = key
+    edited = edit(text, following[2])
+    other = sampler.fingerprint(edited)
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), sha, mark.tobytes().hex(), other.tobytes().hex(), likeness(mark, other), likeness(mark, next_mark)
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_RESULT, _FIRST, _LAST = 0, 1, 2
+#: What a part tells: results, and its first and last document with their text.
+_KINDS = dict(zip(["kind", *_NAMES, "h", "text", "n"], "int long long string string string double double long string long".split(), strict=True))
+
+
+def _schema(kinds: dict[str, str]) -> str:
+    return ", ".join(f"{n} {k}" for n, k in kinds.items())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(_KINDS.values())], list(_KINDS))
