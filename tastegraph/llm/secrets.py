@@ -22,12 +22,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: a name itself, with the value behind it.
 CONTEXT = re.compile(
     r"(?ai)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|"
-    r"credentials?|auth|bearer|login)(?![a-z0-9])[\"'\x20]*(?:(?:is|was|(:=|=>|->|[:=]))[\x20\"'`]*|\x20)(?=[^\s\"'`,;<>(){}\[\]]{6})")
+    r"credentials?|auth|bearer|login)(?![a-z0-9])[\"'\x20]*(?:(?:is|was|(:=|=>|->|[:=]))[\x20\"'`]*|\x20[\"'`]?)(?=[^\s\"'`,;<>(){}\[\]]{6})")
 #: Where a value ends, and characters of it that are priced at once.
 END, PIECE = re.compile(r"[\s\"'`,;<>(){}\[\]]"), 256
 #: Guesses, as a power of ten, from which a value counts as a secret.
 LEAST_GUESSES = 10.0
-#: The same for the longest word of a value that reads like words, where no sign is between name and value, as in prose.
+#: The same for the longest word of a value that reads like words, as in prose.
 PROSE_GUESSES = 30.0
 #: Characters that a run by brute force may take, by class: how many there are of each. Fixed values.
 CARDINALITY = {"lower": 26, "upper": 26, "digit": 10, "other": 33}
@@ -126,18 +126,30 @@ def long_cost(value: str) -> float:
     return max((guess_cost(p)[0] for p in {value[i : i + PIECE] for i in range(0, len(value), PIECE)}), default=0.0)
 
 
+#: Consonants in a row that no word has, and the least share of vowels, in hundredths, of a longer word.
+CONSONANTS, VOWELS = 6, 20
+_HARD = re.compile(rf"[b-df-hj-np-tv-xz]{{{CONSONANTS}}}", re.I)
+_SOFT = re.compile(r"[^b-df-hj-np-tv-xz]", re.I)
+#: Small letters that hardly ever follow each other in words of European languages. Fixed values.
+_ODD = re.compile(r"q(?!u)|[jqv][bcdfghjkmnpqstvwxz]|[fgkpvw][jqxz]")
+#: A url, its part before the host if it has one, and the password in that.
+_URL = re.compile(r"(?ai)[a-z][a-z0-9+.-]*://(?:([^/?#@\s]*)@)?[^/?#\s]")
+
+
 def like_words(value: str) -> bool:
-    """Letters joined by signs of prose, names and paths alone, whose case changes as in words and names put together."""
+    """Letters joined by signs of prose, names and paths alone, that can be spoken and whose case changes as in words and names put together."""
     runs = _LETTERS.findall(value)
-    return bool(runs and _JOINED.fullmatch(value)) and (len(_WORD.findall(value)) - len(runs)) * 4 <= sum(map(len, runs))
+    if not runs or not _JOINED.fullmatch(value) or (len(_WORD.findall(value)) - len(runs)) * 4 > sum(map(len, runs)):
+        return False
+    return all(not _HARD.search(r) and not _ODD.search(r) and (len(r) < CONSONANTS or len(_SOFT.findall(r)) * 100 >= VOWELS * len(r)) for r in runs)
 
 
 def find_secrets(text: str | None, least: float = LEAST_GUESSES, known: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in a whole text, in code points, by start and then by kind.
 
     Kinds are assign, access and hex, found leftmost and without overlap each, and guess: a value in a credential's context that
-    takes 10 ** ``least`` guesses or more and reaches beyond the other spans. Where prose may follow a name, a value that reads
-    like words is a secret if one of its words takes 10 ** ``PROSE_GUESSES``.
+    takes 10 ** ``least`` guesses or more and reaches beyond the other spans. A value that reads like words, as prose may follow a name, is a
+    secret if one of its words takes 10 ** ``PROSE_GUESSES``, a url if the password in it takes 10 ** ``least``.
     """
     if not text:
         return []
@@ -166,10 +178,15 @@ def find_secrets(text: str | None, least: float = LEAST_GUESSES, known: dict[str
         at = bisect_right(taken, (s, len(text))) - 1
         if len(value) < 6 or at >= 0 and e <= taken[at][1]:
             continue
-        prose = m[1] is None and like_words(value)
+        link = _URL.match(value)
+        prose = like_words(value)
         if not prose:
             judged = stop  # what follows inside it costs no more
-        priced, limit = (max(_LETTERS.findall(value), key=len), PROSE_GUESSES) if prose else (value, least)
+        if link:
+            # of a url only a password in it is a secret
+            priced, limit = (link[1] or "").partition(":")[2], least
+        else:
+            priced, limit = (max(_LETTERS.findall(value), key=len).lower(), PROSE_GUESSES) if prose else (value, least)
         cost = known.get(priced)
         if cost is None:
             cost = long_cost(priced)
@@ -191,7 +208,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def scan_secrets(documents: DataFrame, least: float = LEAST_GUESSES) -> DataFrame:
     """Per document: counts of the base kinds, the digest of their spans, all spans, and the number the guess cost added.
 
-    NULL and empty texts have no spans. Repeated rows give repeated results. No row meets another, so nothing is shuffled.
+    NULL and empty texts have no spans. Texts and values of any length are read whole. Repeated rows give repeated results; columns beside
+    doc_id and text are ignored. No row meets another, so nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

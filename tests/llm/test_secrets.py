@@ -1,11 +1,12 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import pytest
 
-from tastegraph.llm.secrets import _class, CARDINALITY, find_secrets, guess_cost, joined, scan_secrets
+from tastegraph.llm.secrets import _class, CARDINALITY, KEYBOARD, LEET, WORDS, find_secrets, guess_cost, joined, scan_secrets
 
 
 def test_base_spans_follow_the_patterns():
@@ -18,21 +19,37 @@ def test_base_spans_follow_the_patterns():
     assert sorted(got) == sorted(want) and len(want) == 4
 
 
-@pytest.mark.parametrize("value", ["password1", "P@ssw0rd", "aaaaaaaa", "qwerty12", "19991231", "zx8Q#", "abcabcabc", "1999-12-31"])
+def span_cost(part, whole):
+    """Least guesses of one span, by every kind it can be, written out apart from the library."""
+    single = math.log10(sum(CARDINALITY[k] for k in {_class(c) for c in whole}))
+    costs, low = [len(part) * single], part.lower()
+    plain = low.translate(LEET)
+    if plain in WORDS:
+        costs.append(math.log10(WORDS.index(plain) + 1) + 0.3 + 0.5 * ((part != low) + (plain != low)))
+    if re.fullmatch(r"(19|20)[0-9]{2}", part):
+        costs.append(2.1)
+    elif re.fullmatch(r"(19|20)[0-9]{2}[-/._]?(1[0-2]|0?[1-9])([-/._]?([12][0-9]|3[01]|0?[1-9]))?|([12][0-9]|3[01]|0?[1-9])[-/._](1[0-2]|0?[1-9])[-/._](19|20)?[0-9]{2}", part):
+        costs.append(4.6)
+    near = lambda x, y: any(x + y in row or y + x in row for row in KEYBOARD)
+    if len(part) >= 3 and all(near(x, y) for x, y in zip(low, low[1:])):
+        costs.append(math.log10(94 * len(part)))
+    if len(part) >= 3 and len({ord(y) - ord(x) for x, y in zip(part, part[1:])} | {1}) == 1 or len(part) >= 3 and {ord(y) - ord(x) for x, y in zip(part, part[1:])} == {-1}:
+        costs.append(math.log10(26 * len(part)))
+    for width in range(1, min(8, len(part) // 2) + 1):
+        if len(part) >= 3 and len(part) % width == 0 and part == part[:width] * (len(part) // width):
+            costs.append(width * single + math.log10(len(part) // width))
+    return min(costs)
+
+
+@pytest.mark.parametrize("value", ["password1", "P@ssw0rd", "aaaaaaaa", "qwerty12", "19991231", "zx8Q#", "abcabcabc", "1999-12-31", "Summer99", "xyz321", "love2love", "tokenKey", "asdf!1998", "9.8.1999x"])
 def test_cost_is_the_least_over_all_cuts(value):
-    """Spans priced alone, put together in every way."""
-    single = math.log10(sum(CARDINALITY[k] for k in {_class(c) for c in value}))
-
-    def alone(part):
-        cost, spans = guess_cost(part)
-        return cost if len(spans) == 1 and spans[0][2] not in ("brute", "repeat") else math.inf
-
+    """Every cut into spans, each at its least: no more and no less."""
     best = math.inf
     for n in range(len(value)):
-        for cuts in itertools.combinations(range(1, len(value)), min(n, 3)):
+        for cuts in itertools.combinations(range(1, len(value)), n):
             parts = [value[a:b] for a, b in zip((0, *cuts), (*cuts, len(value)), strict=True)]
-            best = min(best, sum(min(alone(p), len(p) * single) for p in parts) + 0.3 * (len(parts) - 1))
-    assert guess_cost(value)[0] <= best + 1e-9
+            best = min(best, sum(span_cost(p, value) for p in parts) + 0.3 * n)
+    assert guess_cost(value)[0] == pytest.approx(best, abs=1e-9)
 
 
 def test_guessable_values_are_no_secrets():
@@ -73,3 +90,34 @@ def test_a_value_beyond_a_base_span_and_prose():
     assert find_secrets("password=Kx8Qv2Tz9mWp4Lr") == [("assign", 0, 24)]
     for text in ("the password internationalization layer", "login is unfortunately broken", "token https://www.example.org/page/index", "secret JavaScriptEngine rules"):
         assert find_secrets(text) == [], text
+
+
+PROSE = """Login: documentation page|Auth: configuration required|Bearer: international certificates|credentials: see-the-handbook|Login: https://example.com/users/start
+login: https://example.com/users/42/start?page=7#top|Auth: oauth-authorization-framework|password: forgotten again|token: economics of scale|secret: gardens of England
+PIN: required for withdrawals|access key: underneath the doormat|login => administrators only|auth -> middleware/handlers|Credentials: username and password|bearer = instruments
+token: internationalization|secret: everybody knows it|Passphrase: something memorable|pwd: working-directory/of/project|login: unfortunately unavailable|auth: pending confirmation
+Bearer: of bad news|token: representative|private key: cryptography explained|api key: documentation|login was impossible yesterday|pin is mandatory here|pass: mountaineering routes
+passcode: instructions follow|credential: verification pending|auth: strengthened procedures|login: straightforward process|token: schoolchildren gathering|secret: ingredients
+password: characteristics of strength|Login: Benutzerverwaltung|auth: autenticación necesaria|token: développement durable|secret: geheimnisvolle Gärten|pin: Zugangsberechtigung
+credentials: contraseña olvidada|pw: unchanged since yesterday|login: JavaScriptEngine|token: HttpRequestHandler|secret: README.md|auth: config/settings.yaml|bearer: non-negotiable
+login: and/or registration|access-key: alphabetical-order|passwd: command-line-utility""".replace("\n", "|").split("|")
+
+
+def test_prose_behind_names_is_no_secret():
+    assert len(PROSE) >= 50
+    assert [(t, s) for t in PROSE if (s := [x for x in find_secrets(t) if x[0] == "guess"])] == []
+
+
+def test_planted_credentials_without_a_base_form():
+    """Names by a blank or an arrow, other alphabets: nine in ten of random values of 12 characters or more are found, whole."""
+    rng, found, total = random.Random(8), 0, 0
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcxyzABCXYZ0189!#$%&*+^~?@_"]
+    for form in ("the pwd is {} now", "login {} works", "bearer -> {}", "credentials => {}", "pin: {}", "passphrase `{}`", "auth: {}, then", "private key was {}"):
+        for alphabet in alphabets:
+            for size in (12, 16, 24, 40):
+                value = "".join(rng.choice(alphabet) for _ in range(size)).rstrip("?!") + "k"
+                at = form.index("{}")
+                total, found = total + 1, found + any(s <= at and e >= at + len(value) for _, s, e in find_secrets(form.format(value)))
+    assert found >= 0.9 * total
+    url = "login: https://admin:x7Gf9qLm2Zk8@example.com/start"
+    assert ("guess", 7, len(url)) in find_secrets(url)
