@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastegraph.functions.text import normalize_title, person_sort_name, service_name, trigram_similarity
 from tastegraph.operators.views import title_credit, top_rows
 from tastegraph.plans.grams import containing_texts, similar_texts
+from tastegraph.plans.gramtable import GramTable, add_texts, containing_stored, similar_stored
 from tastegraph.tables import Tables
 
 MIN_QUERY = 2
@@ -22,20 +23,21 @@ def _usable(queries: DataFrame) -> DataFrame:
     return q.filter(F.length("q") >= MIN_QUERY)
 
 
-def _fuzzy_top(queries: DataFrame, items: DataFrame, normalized: Column, k: int, threshold: float) -> DataFrame:
+def _fuzzy_top(queries: DataFrame, items: DataFrame, normalized: Column, k: int, threshold: float, table: GramTable | None = None) -> DataFrame:
     """Top k of items (id, norm, raw, popularity) per query: similar norm, or raw containing the query.
 
-    Items with the same texts are ranked among themselves first, so a crowd of copies costs k rows.
+    Items with the same texts are ranked among themselves first, so a crowd of copies costs k rows. With a stored ``table`` of the items'
+    norms and lower-case raw texts, no item's grams are made.
     """
     q = _usable(queries).withColumns({"q_norm": normalized, "q_low": F.lower("q")})
     best_copies = top_rows(items.withColumn("low", F.lower("raw")), ["norm", "low"],
                            [F.col("popularity").desc_nulls_last(), F.col("id")], k, "copy")
     texts = items.select("norm", F.lower("raw").alias("low")).distinct()
-    near = similar_texts(q.select(F.col("q_norm").alias("l_text")).distinct(),
-                         texts.select(F.col("norm").alias("r_text")).distinct(), threshold)
+    asked, needles = q.select(F.col("q_norm").alias("l_text")).distinct(), q.select(F.col("q_low").alias("needle"))
+    near = similar_texts(asked, texts.select(F.col("norm").alias("r_text")).distinct(), threshold) if table is None else similar_stored(asked, table, threshold)
     by_norm = q.join(near.withColumnRenamed("l_text", "q_norm"), "q_norm").select(
         "query_id", "q_norm", F.col("r_text").alias("norm")).join(texts, "norm")
-    inside = containing_texts(q.select(F.col("q_low").alias("needle")), texts.select(F.col("low").alias("text")))
+    inside = containing_texts(needles, texts.select(F.col("low").alias("text"))) if table is None else containing_stored(needles, table)
     by_text = q.join(inside.withColumnRenamed("needle", "q_low"), "q_low").select(
         "query_id", "q_norm", F.col("text").alias("low")).join(texts, "low")
     cols = ["query_id", "q_norm", "norm", "low"]
@@ -45,10 +47,15 @@ def _fuzzy_top(queries: DataFrame, items: DataFrame, normalized: Column, k: int,
         "query_id", "id", "sim", "rn")
 
 
-def search_titles(queries: DataFrame, title: DataFrame, k: int = 12, threshold: float = 0.3) -> DataFrame:
-    """Titles per query by similarity of the normalised title, then popularity; substrings match too."""
+def title_grams(title: DataFrame, name: str, path: str) -> None:
+    """Store, or add to, the grams that ``search_titles`` looks titles up by."""
+    add_texts(title.select(F.col("sort_title").alias("text")), title.select(F.lower("title").alias("text")), name, path)
+
+
+def search_titles(queries: DataFrame, title: DataFrame, k: int = 12, threshold: float = 0.3, table: GramTable | None = None) -> DataFrame:
+    """Titles per query by similarity of the normalised title, then popularity; substrings match too. ``table`` is one of ``title_grams``."""
     items = title.select("id", F.col("sort_title").alias("norm"), F.col("title").alias("raw"), "popularity")
-    found = _fuzzy_top(queries, items, normalize_title(F.col("q")), k, threshold)
+    found = _fuzzy_top(queries, items, normalize_title(F.col("q")), k, threshold, table)
     return found.join(title.select("id", "slug", "kind", "title", "poster_path", "popularity"), "id")
 
 

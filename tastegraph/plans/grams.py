@@ -64,15 +64,19 @@ def _pieces(col: Column, n: int) -> Column:
     return F.when(F.length(col) >= n, F.transform(starts, lambda i: F.substring(col, i, F.lit(n))))
 
 
+def pieces_of(col: Column) -> Column:
+    """The distinct runs of two and of three letters."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(_pieces(col, 2), none), F.coalesce(_pieces(col, 3), none)))
+
+
 def containing_texts(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (needle, text) where the text contains the needle, for needles of two letters or more.
 
     A needle meets only the texts that hold its rarest piece, which is then checked in full.
     """
     needles, texts = needles.select("needle").distinct(), texts.select("text").distinct()
-    pieces = texts.select("text", F.explode(F.array_distinct(
-        F.concat(F.coalesce(_pieces(F.col("text"), 2), F.array().cast("array<string>")),
-                 F.coalesce(_pieces(F.col("text"), 3), F.array().cast("array<string>"))))).alias("piece"))
+    pieces = texts.select("text", F.explode(pieces_of(F.col("text"))).alias("piece"))
     frequency = pieces.groupBy("piece").agg(F.count("*").alias("df"))
     own = F.when(F.length("needle") == 2, F.array("needle")).otherwise(_pieces(F.col("needle"), 3))
     rarest = (
