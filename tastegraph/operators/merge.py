@@ -125,7 +125,9 @@ def merge_log(t: Tables, merge_map: DataFrame, as_of: AsOf, entity_type: str = "
     merged = entity.select(F.col("id").alias("merged_id"), snapshot.alias("snapshot"), F.col(name).alias("display_name"))
     moved = _moves(t, m, entity_type).filter(~F.col("what").isin("external_id", "season", "episode")).groupBy(
         "merged_id").agg(F.count("*").alias("repointed"))
-    gone = collapse_edges(t.edge, m, entity_type).select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("merged_id")).join(
+    # ids of other kinds of entity may equal a merged one's
+    ends = [F.when(F.col(f"{end}_type") == entity_type, F.col(f"{end}_id")) for end in ("subject", "object")]
+    gone = collapse_edges(t.edge, m, entity_type).select(F.explode(F.array_distinct(F.array(*ends))).alias("merged_id")).join(
         m.select("merged_id"), "merged_id").groupBy("merged_id").agg(F.count("*").alias("collapsed"))
     return (
         m.join(merged, "merged_id").join(moved, "merged_id", "left").join(gone, "merged_id", "left")
