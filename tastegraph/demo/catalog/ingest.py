@@ -236,8 +236,11 @@ def season_payloads(t):
     e = F.struct(c("l_orderkey").alias("episode_number"), c("l_linenumber").alias("season_number"), c("l_linestatus").alias("name"),
                  F.date_format("l_shipdate", "yyyy-MM-dd").alias("air_date"), c("l_quantity").cast("int").alias("runtime"))
     large = t.part.filter("p_size > 25").select(c("p_partkey").alias("l_partkey"))
-    once = t.lineitem.join(large, "l_partkey").dropDuplicates(["l_partkey", "l_linenumber", "l_orderkey"])
-    return once.groupBy("l_partkey", "l_linenumber").agg(F.sort_array(F.collect_list(e)).alias("episodes")).select(
+    # of lines that repeat a number the first of the table holds
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    once = t.lineitem.select("l_partkey", "l_linenumber", "l_orderkey", e.alias("e"), place.alias("place")).join(large, "l_partkey").groupBy(
+        "l_partkey", "l_linenumber", "l_orderkey").agg(F.min_by("e", "place").alias("e"))
+    return once.groupBy("l_partkey", "l_linenumber").agg(F.sort_array(F.collect_list("e")).alias("episodes")).select(
         _text("l_partkey").alias("source_id"), F.to_json(F.struct(c("l_linenumber").alias("season_number"), "episodes")).alias("payload"))
 
 
