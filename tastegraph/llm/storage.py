@@ -1,16 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from tastegraph.plans.lineage import written
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from tastegraph.plans.lineage import shared_folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read back: for texts, which a checkpoint would not compress."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["written"]
