@@ -29,3 +29,11 @@ def test_short_lists_and_small_parts_give_the_same_rows(t, monkeypatch):
     monkeypatch.setattr(W, "WATCHED_IN_PART", 100)
     assert (rows(False), rows(True)) == want
     assert W.taste_parts(t, AS_OF)[0].rdd.getNumPartitions() > 2
+
+
+def test_persona_expands_once(t, monkeypatch):
+    calls = []
+    real = T.taste_parts
+    monkeypatch.setattr(T, "taste_parts", lambda *a, **k: calls.append(1) or real(*a, **k))
+    plan = T.persona(t, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert len(calls) == 1 and "explode(nodes" not in plan  # spelled out once, before; only leads are left
