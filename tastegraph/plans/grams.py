@@ -14,7 +14,7 @@ from tastegraph.functions.text import trigram_overlap, trigrams
 
 
 def prefix_grams(texts: DataFrame, text: str, frequency: DataFrame, threshold: float) -> DataFrame:
-    """Rows of ``texts`` with ``grams`` and one row per gram of their prefix.
+    """Rows of ``texts`` with ``grams``, ``prefix`` and one row per gram of their prefix.
 
     Two gram sets whose shared share is at least t share a gram among the first
     |A| - ceil(t |A|) + 1 of each, when both are ordered the same way; here rare grams come first.
@@ -29,8 +29,8 @@ def prefix_grams(texts: DataFrame, text: str, frequency: DataFrame, threshold: f
     )
     size = F.size("grams")
     length = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    return ranked.select(*keys, "grams", F.explode(F.slice("by_rarity", F.lit(1), length)).alias("g")).select(
-        *keys, "grams", "g.gram")
+    return ranked.withColumn("prefix", F.slice("by_rarity", F.lit(1), length)["gram"]).select(
+        *keys, "grams", "prefix", F.explode("prefix").alias("gram"))
 
 
 def gram_frequency(texts: DataFrame, text: str) -> DataFrame:
@@ -47,14 +47,15 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, block: li
     """
     block = block or []
     frequency = gram_frequency(right.select("r_text").distinct(), "r_text")
-    l = prefix_grams(left, "l_text", frequency, threshold).withColumnRenamed("grams", "l_grams")
-    r = prefix_grams(right, "r_text", frequency, threshold).withColumnRenamed("grams", "r_grams")
+    l = prefix_grams(left, "l_text", frequency, threshold).withColumnsRenamed({"grams": "l_grams", "prefix": "l_prefix"})
+    r = prefix_grams(right, "r_text", frequency, threshold).withColumnsRenamed({"grams": "r_grams", "prefix": "r_prefix"})
     a, b = F.size("l_grams"), F.size("r_grams")
     met = l.join(r, ["gram", *block]).filter((a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9))
     if where is not None:
         met = met.filter(where)
     kept = [c for c in left.columns + right.columns if c not in block]
-    pairs = met.drop("gram").dropDuplicates([*block, *kept])
+    # a pair that meets on several grams is kept at one of them, where it stands: nothing is gathered to tell its copies apart
+    pairs = met.filter(F.col("gram") == F.array_min(F.array_intersect("l_prefix", "r_prefix"))).drop("gram", "l_prefix", "r_prefix")
     sim = trigram_overlap(F.col("l_text"), F.col("r_text"), F.col("l_grams"), F.col("r_grams"))
     return pairs.withColumn("sim", sim).filter(F.col("sim") >= threshold).select(*block, *kept, "sim")
 
