@@ -56,15 +56,13 @@ def strip_diacritics(col: Column) -> Column:
     source, target, expanding = _decompositions()
     letters = F.create_map(*[F.lit(x) for pair in expanding.items() for x in pair])
     folded = F.translate(col, source, target)
-
-    def expand(c: Column) -> Column:
-        # plain letters, and the ideographs that make up a whole text, have nothing to expand to
-        plain = (c <= "\x7f") | c.between("\u4e00", "\u9fff")
-        return F.when(plain, c).otherwise(F.coalesce(letters[c], c))
-
-    # most texts hold no letter that becomes several: they skip the walk over their letters
-    expanded = F.array_join(F.transform(F.split(folded, ""), expand), "")
-    return F.when(folded.rlike(_any_of(expanding)), expanded).otherwise(folded)
+    # most texts hold no letter that becomes several; it is looked for among the letters beyond ASCII, and each kind of it is replaced at once
+    several = F.lit(f"({_any_of(expanding)})")
+    foreign = F.regexp_replace(col, r"[\x00-\x7F]+", "")
+    kinds = F.array_distinct(F.regexp_extract_all(foreign, several, F.lit(1)))
+    expanded = F.reduce(kinds, folded, lambda text, c: F.replace(text, c, letters[c]))
+    plain = F.octet_length(col) == F.length(col)
+    return F.when(plain, col).when(F.regexp_like(foreign, several), expanded).otherwise(folded)
 
 
 def _any_of(letters: dict[str, str]) -> str:

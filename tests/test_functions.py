@@ -56,3 +56,19 @@ def test_accent(spark):
     px = [(1, *black)] * 50 + [(1, *red), (1, *rose)] + [(2, *grey)] * 3
     got = {r.image_id: r.accent_color for r in S.accent_color(spark.createDataFrame(px, "image_id int, r int, g int, b int")).collect()}
     assert got[2] is None and got[1].startswith("#") and int(got[1][1:3], 16) > int(got[1][3:5], 16)
+
+
+def _folds(spark, col):
+    """How often the plan spells the folding of a text out."""
+    plan = spark.range(1).select(F.concat(c("id").cast("string"), F.lit("é")).alias("x")).select(col.alias("v"))
+    return plan._jdf.queryExecution().analyzed().toString().count("translate(")
+
+
+def test_a_text_is_searched_for_letters_without_folding_it_first(spark):
+    # once for texts with letters that become several, once for the others
+    assert _folds(spark, X.strip_diacritics(c("x"))) == 2
+
+
+def test_folded_letters_that_become_several(spark):
+    rows = [("ﬁn ﬁ ½ é…",), ("日本が😀½",), ("plain",), ("",), (None,)]
+    assert one(spark, rows, "x string", X.strip_diacritics(c("x"))) == ["fin fi 1⁄2 e...", "日本が😀1⁄2", "plain", "", None]
