@@ -94,10 +94,7 @@ def normalize_person_name(col: Column) -> Column:
 
 def person_sort_name(col: Column) -> Column:
     """Normalised name with its last word moved to the front."""
-    n = normalize_person_name(col)
-    words = F.split(n, " ")
-    rest = F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")
-    return F.when(F.size(words) < 2, n).otherwise(F.concat_ws(" ", F.element_at(words, -1), rest))
+    return F.regexp_replace(normalize_person_name(col), "^(.*) ([^ ]+)$", "$2 $1")
 
 
 def reversed_name_key(col: Column) -> Column:

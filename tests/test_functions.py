@@ -72,3 +72,9 @@ def test_a_text_is_searched_for_letters_without_folding_it_first(spark):
 def test_folded_letters_that_become_several(spark):
     rows = [("ﬁn ﬁ ½ é…",), ("日本が😀½",), ("plain",), ("",), (None,)]
     assert one(spark, rows, "x string", X.strip_diacritics(c("x"))) == ["fin fi 1⁄2 e...", "日本が😀1⁄2", "plain", "", None]
+
+
+def test_a_sort_name_folds_its_name_once(spark):
+    assert _folds(spark, X.person_sort_name(c("x"))) == _folds(spark, X.normalize_person_name(c("x")))
+    names = [("Anne-Marie  de la Tour",), ("Ünal",), ("  ",), (None,)]
+    assert one(spark, names, "x string", X.person_sort_name(c("x"))) == ["tour anne marie de la", "unal", "", ""]
