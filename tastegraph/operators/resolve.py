@@ -7,12 +7,13 @@ on a name alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegraph.functions.text import normalize_title, reversed_name_key
 from tastegraph.operators.views import top_rows
 from tastegraph.plans.grams import similar_texts
+from tastegraph.plans.lineage import written
 from tastegraph.tables import Tables
 
 # Resolution thresholds.
@@ -110,7 +111,8 @@ def judge_candidates(incoming: DataFrame, cast: DataFrame, t: Tables, person_sou
     known = match_primary(incoming, t.external_id).select("incoming_id").unionByName(
         match_secondary(incoming, t.external_id, t.title).select("incoming_id")).distinct()
     rest = incoming.join(known, "incoming_id", "left_anti")
-    candidates = block_candidates(rest, t.title)
+    # looked for once, though met twice: by their cast and as they are
+    candidates = written(block_candidates(rest, t.title))
     shared = shared_cast(cast, candidates, t.credit, t.external_id, person_source)
     c = candidates.join(shared, ["incoming_id", "candidate_id"], "left").withColumns({
         "shared_cast": F.coalesce("shared_cast", F.lit(0)),
@@ -139,9 +141,9 @@ def resolve_titles(incoming: DataFrame, cast: DataFrame, t: Tables, person_sourc
 def review_queue(incoming: DataFrame, cast: DataFrame, t: Tables, person_source: str = "tmdb") -> DataFrame:
     """Candidates looked at and not accepted, up to the accepted one, with what spoke for and against."""
     judged = judge_candidates(incoming, cast, t, person_source)
-    accepted = judged.filter(F.col("method").isNotNull()).groupBy("incoming_id").agg(F.min("rank").alias("accepted"))
-    open_ = judged.join(accepted, "incoming_id", "left").filter(
-        F.col("accepted").isNull() | (F.col("rank") < F.col("accepted")))
+    # an incoming title has few candidates, so its window is small
+    accepted = F.min(F.when(F.col("method").isNotNull(), F.col("rank"))).over(Window.partitionBy("incoming_id"))
+    open_ = judged.withColumn("accepted", accepted).filter(F.col("accepted").isNull() | (F.col("rank") < F.col("accepted")))
     evidence = F.to_json(F.struct("candidate_title", "candidate_year", "candidate_runtime", "shared_cast", "runtime_compatible"))
     return open_.select("incoming_id", "candidate_id", "rank", "sim", "shared_cast", "runtime_compatible",
                         F.when(F.col("exact"), REASON_EXACT).otherwise(REASON_SIMILAR).alias("reason"),
