@@ -15,3 +15,12 @@ def test_edges_inside_the_rings(spark):
     # rings meet edges at quiet ends only, not the hundred of person 1
     turned = N.by_quiet_end(N.forward_edges(eb))
     assert {r.q.t for r in turned.select("q").collect()} <= {"title", "person"} and turned.filter("q.t = 'person' and q.i = 1").count() == 0
+
+
+def test_edges_and_rings_are_derived_once(spark):
+    rows = [("title", 1, "x", "person", 2, False, "x", 1.0), ("person", 2, "y", "title", 1, True, "x", 1.0)]
+    eb = spark.createDataFrame(rows, "subject_type string, subject_id long, predicate string, object_type string, object_id long, is_inverse boolean, canonical_predicate string, path_weight double")
+    rings = spark.createDataFrame([("person", 2, "title", 1, 1)], "ref_type string, ref_id long, node_type string, id long, hop int")
+    got = N.induced_edges(rings, eb)
+    assert "LogicalRDD" not in got._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r)[2:] for r in got.collect()] == [("person", 2, "title", 1, "x", 1.0)]
