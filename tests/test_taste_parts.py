@@ -57,3 +57,11 @@ def test_counted_candidates_equal_spelled_out_ones(spark):
     got = T.candidates_by_seed(seeds, eb, degree, held)
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
     assert got.count() > 8
+
+
+def test_titles_of_accounts_are_not_broadcast(t):
+    from tastegraph.operators.views import user_core
+
+    plan = user_core(t)._jdf.queryExecution().executedPlan().toString()
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("SortMergeJoin" in line for line in semi)
